@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import heavy, ranks
+from readloom.llm import heavy, mixing, prose, ranks, tokenizer
 
 WHITE = " \t\r\n"
 
@@ -45,6 +45,42 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizer.encode(table(spark, folder, "documents"), F.col("text"), {"doc_id": F.col("doc_id")})
+
+
+def p7_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as its ids spell it."""
+    return tokenizer.decode(p7_ids(spark, folder), F.col("ids"), {"doc_id": F.col("doc_id")})
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sizes = tokenizer.count_tokens(
+        table(spark, folder, "documents"), F.col("text"), {"doc_id": F.col("doc_id"), "source": F.col("source")}
+    )
+    return mixing.balance(sizes, mixing.read_targets(table(spark, folder, "source_targets")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1].where("not reachable").select("source")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1]
+
+
+def p8_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0].where("copies > 0").select("doc_id", "source", "copies")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_scores(spark, folder).where("odd").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return prose.score_pages(table(spark, folder, "documents"), "doc_id")
+
+
 P3_COUNTS = r"""
 WITH v AS (SELECT upper(trim(sequence, chr(32) || chr(9) || chr(13) || chr(10))) AS sequence FROM read_entries),
     told AS (SELECT * FROM v WHERE regexp_matches(sequence, '\p{L}'))
@@ -65,5 +101,18 @@ SELECT sample, measure, CAST(pct AS INTEGER) AS pct, CAST(min(value) AS INTEGER)
 FROM c, (SELECT unnest([5, 25, 50, 75, 95]) AS pct) WHERE upto * 100 >= pct * n GROUP BY sample, measure, pct
 """
 
-QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found}
-ORACLES = {"p3_found": f"SELECT sequence FROM ({P3_COUNTS})", "p3_counts": P3_COUNTS, "p5_found": P5_FOUND}
+P7_TEXT = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_counts": p3_counts,
+    "p5_found": p5_found,
+    "p7_ids": p7_ids,
+    "p7_text": p7_text,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
+    "p8_copies": p8_copies,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+}
+ORACLES = {"p3_found": f"SELECT sequence FROM ({P3_COUNTS})", "p3_counts": P3_COUNTS, "p5_found": P5_FOUND, "p7_text": P7_TEXT}
