@@ -35,11 +35,20 @@ _LETTER_LIKE = str.maketrans("01¡", "oli")
 
 
 class Settings(NamedTuple):
-    """Parameters: lexicon size and least share of pages, function words, n-gram slots, windows."""
+    """Parameters.
+
+    The lexicon holds at most ``most_words`` words of at least ``least_pages`` of the clean pages;
+    its first ``function_words``, if on ``function_pages`` of them, are function words. Repeats are
+    three equal content words within ``span``, separators belong to lists within ``close``. Pages
+    with a share of at most ``marks`` of links, tags and repeats are prose, those with
+    ``garbage`` of garbage illegible. N-grams are counted in ``2**slot_bits`` slots; surprisal is
+    averaged over ``window`` words to either side.
+    """
 
     most_words: int = 4000
     least_pages: float = 0.0015
     function_words: int = 200
+    function_pages: float = 0.02
     slot_bits: int = 20
     span: int = 9
     close: int = 4
@@ -333,7 +342,8 @@ def score_pages(df: DataFrame, key: str, text: str = "text", settings: Settings
         .orderBy(F.col("n").desc(), "word").limit(s.most_words).toPandas()
     )
     lexicon = {w: N_CLASSES + i for i, w in enumerate(common["word"])}
-    functions = frozenset(common["word"][: s.function_words])
+    spread = common["word"][common["n"] >= s.function_pages * total]
+    functions = frozenset(spread[: s.function_words])
     parts = told.mapInArrow(_train(lexicon, functions, s), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(N_CLASSES + len(lexicon) + 2 * (1 << s.slot_bits), dtype=np.float32)
     counts[parts.column("slot").to_numpy()] = parts.column("n").to_numpy()
