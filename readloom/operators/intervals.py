@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.operators.prefix import neighbours, running
+from readloom.session import cut_lineage
 
 
 def _plain(df: DataFrame, target: str, start: Column | str, end: Column | str, weight: Column | None = None) -> DataFrame:
@@ -30,15 +31,15 @@ def coverage(df: DataFrame, target: str, start, end, weight: Column | None = Non
     the depth is the sum of weights. Positions where the depth doesn't change begin no run.
     """
     spans = _plain(df, target, start, end, weight)
-    events = (
+    # Read twice, for the blocks and for their rows.
+    events = cut_lineage(
         spans.select("target", F.inline(F.array(
             F.struct(F.col("start").alias("position"), F.col("weight").alias("change")),
             F.struct(F.col("end").alias("position"), (-F.col("weight")).alias("change")),
         )))
         .groupBy("target", "position").agg(F.sum("change").alias("change")).where("change <> 0")
     )
-    deep = running(events, ["target"], "position", {"depth": ("sum", "change")}, block)
-    runs = neighbours(deep, ["target"], "position", ["position"], block)
+    runs = running(events, ["target"], "position", {"depth": ("sum", "change")}, block, carry=["position"])
     return runs.where("next_position is not null").select(
         "target", "position", (F.col("next_position") - F.col("position")).alias("length"), "depth"
     )
@@ -69,7 +70,7 @@ def peaks(runs: DataFrame, threshold: float, block: int = 1 << 16) -> DataFrame:
     ``count`` adds up the depths of the runs, whatever their lengths.
     """
     above = F.col("depth") > threshold
-    near = neighbours(runs, ["target"], "position", ["position", "length", "depth"], block).where(above)
+    near = cut_lineage(neighbours(cut_lineage(runs), ["target"], "position", ["position", "length", "depth"], block).where(above))
     joins = (F.col("previous_depth") > threshold) & (F.col("previous_position") + F.col("previous_length") == F.col("position"))
     numbered = islands(near, ["target"], "position", ~F.coalesce(joins, F.lit(False)), block)
     return (
@@ -81,7 +82,7 @@ def peaks(runs: DataFrame, threshold: float, block: int = 1 << 16) -> DataFrame:
 
 def merge_overlaps(df: DataFrame, target: str, start, end, gap: int = 0, block: int = 1 << 16) -> DataFrame:
     """``target, start, end, n``: intervals that overlap, or lie within ``gap``, as one; ``n`` went in."""
-    spans = _plain(df, target, start, end).groupBy("target", "start").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
+    spans = cut_lineage(_plain(df, target, start, end).groupBy("target", "start").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n")))
     reach = running(spans, ["target"], "start", {"reach": ("max", "end")}, block, strict=True)
     fresh = F.col("reach").isNull() | (F.col("start") > F.col("reach") + gap)
     return (
@@ -162,25 +163,33 @@ def anchor_clusters(df: DataFrame, target: str, position: str, threshold: float)
 
     A row joins the cluster while its distance to the cluster's **first** row is at most
     ``threshold``. That is sequential only across gaps of at most the threshold: the chain is cut
-    wherever two neighbours are further apart, and only each cut stretch goes to one task.
+    wherever two neighbours are further apart, and each cut stretch is read in order by one
+    task, row by row.
     """
-    near = neighbours(df.select(target, position).where(F.col(position).isNotNull()).distinct(), [target], position, [position])
+    places = cut_lineage(df.select(target, position).where(F.col(position).isNotNull()).distinct())
+    near = cut_lineage(neighbours(places, [target], position, [position]))
     far = F.col(f"previous_{position}").isNull() | (F.col(position) - F.col(f"previous_{position}") > threshold)
     stretches = islands(near.select(target, position, far.alias("__far")), [target], position, F.col("__far"))
 
-    def clusters(pdf):
-        anchors, anchor = [], None
-        for p in pdf.sort_values(position)[position]:
-            if anchor is None or p - anchor > threshold:
-                anchor = p
-            anchors.append(anchor)
-        pdf = pdf.sort_values(position)
-        return pdf.assign(anchor=anchors)[[target, position, "anchor"]]
+    def scan(batches):
+        import pyarrow as pa
+
+        stretch, anchor = None, None
+        for batch in batches:
+            anchors = []
+            for t, i, p in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if (t, i) != stretch or p - anchor > threshold:
+                    stretch, anchor = (t, i), p
+                anchors.append(anchor)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(anchors, batch.column(2).type)], names=[target, position, "anchor"]
+            )
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    found = stretches.select(target, position, "island").groupBy(target, "island").applyInPandas(
-        clusters, f"`{target}` {kinds[target]}, `{position}` {kinds[position]}, anchor {kinds[position]}"
-    )
+    found = (
+        stretches.select(target, "island", position).repartition(target, "island").sortWithinPartitions(target, "island", position)
+        .mapInArrow(scan, f"`{target}` {kinds[target]}, `{position}` {kinds[position]}, anchor {kinds[position]}")
+    )
     return df.join(found, [target, position], "left")
 
 

@@ -28,55 +28,45 @@ def running(
     values: dict[str, tuple[str, str]],
     block: int = 1 << 16,
     strict: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """``df`` with, for each ``new: (kind, column)``, the running sum, max or min up to its position.
 
     ``strict`` leaves out rows at the position itself. Rows with a null position run before
-    all others, in a block of their own; null values add nothing.
+    all others, in a block of their own; null values add nothing. For each ``x`` of ``carry``
+    there are also ``previous_x`` and ``next_x`` of the rows beside it; positions must then be
+    unique within a key, and rows with a null position have no neighbours.
     """
     keys, b = list(keys), F.floor(F.col(position) / block)
     cut = df.withColumn("__block", b)
-    by_block = cut.groupBy(*keys, "__block").agg(*[_AGG[k](c).alias(f"__b_{n}") for n, (k, c) in values.items()])
-    before = Window.partitionBy(*keys).orderBy(F.col("__block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    row = F.struct(F.col(position).alias("__p"), *[F.col(c) for c in carry])
+    told = F.when(F.col(position).isNotNull(), row)
+    ends = [F.min(told).alias("__first"), F.max(told).alias("__last")] if carry else []
+    sums = [_AGG[k](c).alias(f"__b_{n}") for n, (k, c) in values.items()]
+    by_block = cut.groupBy(*keys, "__block").agg(*sums, *ends)
+    order = Window.partitionBy(*keys).orderBy(F.col("__block").asc_nulls_first())
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sides = [F.lag("__last").over(order).alias("__before"), F.lead("__first").over(order).alias("__after")] if carry else []
     offsets = by_block.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__block").alias("__ob"),
-        *[_AGG[k](f"__b_{n}").over(before).alias(f"__o_{n}") for n, (k, _) in values.items()],
+        *[_AGG[k](f"__b_{n}").over(before).alias(f"__o_{n}") for n, (k, _) in values.items()], *sides,
     )
     on = F.col("__block").eqNullSafe(F.col("__ob"))
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     inside = Window.partitionBy(*keys, "__block").orderBy(position)
     frame = inside.rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
-    joined = cut.join(offsets, on, "left")
-    return joined.select(
-        *df.columns,
+    joined = cut.join(offsets, on, "left").select(
+        *df.columns, "__block",
         *[_combine(k, F.col(f"__o_{n}"), _AGG[k](c).over(frame)).alias(n) for n, (k, c) in values.items()],
-    )
+        *([F.coalesce(F.lag(told).over(inside), "__before").alias("__l"), F.coalesce(F.lead(told).over(inside), "__after").alias("__n")] if carry else []),
+    )
+    return joined.select(
+        *df.columns, *values,
+        *[F.col("__l").getField(c).alias(f"previous_{c}") for c in carry], *[F.col("__n").getField(c).alias(f"next_{c}") for c in carry],
+    )
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], position: str, carry: Sequence[str], block: int = 1 << 16) -> DataFrame:
-    """``df`` with ``previous_x`` and ``next_x`` of the rows beside it for each ``x`` of ``carry``.
-
-    Positions must be unique within a key; rows with a null position have no neighbours.
-    """
-    keys = list(keys)
-    cut = df.withColumn("__block", F.floor(F.col(position) / block))
-    row = F.struct(F.col(position).alias("__p"), *[F.col(c) for c in carry])
-    ends = cut.where(F.col(position).isNotNull()).groupBy(*keys, "__block").agg(F.min(row).alias("__first"), F.max(row).alias("__last"))
-    order = Window.partitionBy(*keys).orderBy("__block")
-    sides = ends.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__block").alias("__ob"),
-        F.lag("__last").over(order).alias("__before"), F.lead("__first").over(order).alias("__after"),
-    )
-    on = F.col("__block") == F.col("__ob")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    inside = Window.partitionBy(*keys, "__block").orderBy(position)
-    out = cut.withColumn("__row", row).join(sides, on, "left")
-    near = out.withColumn("__l", F.lag("__row").over(inside)).withColumn("__n", F.lead("__row").over(inside))
-    back, ahead = F.coalesce("__l", "__before"), F.coalesce("__n", "__after")
-    return near.select(
-        *df.columns,
-        *[back.getField(c).alias(f"previous_{c}") for c in carry],
-        *[ahead.getField(c).alias(f"next_{c}") for c in carry],
-    )
+    """``df`` with ``previous_x`` and ``next_x`` of the rows beside it for each ``x`` of ``carry``."""
+    return running(df, keys, position, {}, block, False, carry)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import numeric
 from readloom.operators.prefix import running
+from readloom.session import cut_lineage
 
 
 def parse_groups(text: str) -> dict[str, list[str]]:
@@ -144,7 +145,7 @@ def adjust_bh(df: DataFrame, p: str, q: str = "q", ignored: int = 0, block: int
     """
     known = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
     n = df.agg(F.count(F.lit(1)).alias("__all"))
-    by_p = df.where(known).groupBy(F.col(p).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("__m"))
+    by_p = cut_lineage(df.where(known).groupBy(F.col(p).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("__m")))
     # Positions for the blocks: p in 2**-40 steps; equal p are one row.
     placed = by_p.withColumn("__at", F.floor(F.col("__p") * (1 << 20))).withColumn("__k", F.lit(0))
     steps = placed.groupBy("__k", "__at").agg(F.sum("__m").alias("__s"))
