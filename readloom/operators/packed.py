@@ -88,9 +88,11 @@ class _Parser:
 
     def __call__(self, field: str) -> list[str]:
         out = []
+        quotes = self.dialect.quotes
+        quoted = any(q in field for q in quotes)
         for item in self.find(field):
             item = item.strip(WHITE)
-            if self.dialect.quotes:
+            if quoted:
                 whole = self._bare(item)
                 if whole == item and self.valued and "=" in item:
                     name, value = item.split("=", 1)
@@ -107,6 +109,8 @@ class Unpacker:
     def __init__(self, packing: Packing, counts: np.ndarray | None = None):
         self.valued = packing.valued
         self.parsers = [_Parser(d, packing.valued) for d in packing.dialects()]
+        self.marks = frozenset("".join(p.dialect.delimiters + p.dialect.quotes for p in self.parsers))
+        self.useful: dict[frozenset, dict[Dialect, _Parser]] = {}
         self.slots = None
         if counts is not None:
             self.slots = counts.shape[1]
@@ -117,18 +121,18 @@ class Unpacker:
         self.bits: dict[str, float] = {}
         self.best: dict[str, list[str]] = {}
 
-    def parses(self, field: str) -> Iterator[tuple[Dialect, list[str]]]:
+    def parses(self, field: str) -> list[tuple[Dialect, list[str]]]:
         """One parse for each dialect that no smaller one equals on this field."""
-        seen = set()
-        for parser in self.parsers:
-            d = parser.dialect
-            here = (
-                "".join(sorted(c for c in d.delimiters if c in field)),
-                "".join(sorted(q for q in d.quotes if q in field)),
-            )
-            if here not in seen:
-                seen.add(here)
-                yield Dialect(*here), parser(field)
+        here = frozenset(field) & self.marks
+        useful = self.useful.get(here)
+        if useful is None:
+            useful = {}
+            for parser in self.parsers:
+                d = parser.dialect
+                smaller = Dialect("".join(sorted(here & set(d.delimiters))), "".join(sorted(here & set(d.quotes))))
+                useful.setdefault(smaller, parser)
+            self.useful[here] = useful
+        return [(d, parser(field)) for d, parser in useful.items()]
 
     def symbols(self, item: str) -> tuple[str, ...]:
         """What is coded: the whole item, or its id and its value."""
@@ -176,15 +180,23 @@ def _count_symbols(packings: list[Packing], counts: np.ndarray | None, slots: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpackers = [Unpacker(p, None if counts is None else counts[c]) for c, p in enumerate(packings)]
-        found = np.zeros((len(packings), HASHES, slots), dtype=np.int64)
+        flat = np.zeros(len(packings) * HASHES * slots, dtype=np.int64)
+        hits: list[int] = []
+        known: dict[tuple[int, str], list[int]] = {}
         for batch in batches:
             for c, field in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 u = unpackers[c]
                 parses = [p for _, p in u.parses(field)] if counts is None else [u.cheapest(field)]
                 for symbol in {s for parse in parses for item in parse for s in u.symbols(item)}:
-                    for k, place in enumerate(u.places(symbol, slots)):
-                        found[c, k, place] += 1
-        flat = found.ravel()
+                    hit = known.get((c, symbol))
+                    if hit is None:
+                        if len(known) >= _MEMO:
+                            known.clear()
+                        hit = known[c, symbol] = [(c * HASHES + k) * slots + p for k, p in enumerate(u.places(symbol, slots))]
+                    hits += hit
+            at, n = np.unique(np.array(hits, dtype=np.int64), return_counts=True)
+            flat[at] += n
+            hits.clear()
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["slot", "n"])
 
