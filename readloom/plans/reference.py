@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import bins, numeric, sequence
 from readloom.functions import values as V
-from readloom.operators import align, intervals, stats, tables, variants
+from readloom.operators import align, annotation, intervals, reads, stats, tables, variants
 from readloom.plans.general import table
 from readloom.sources.lines import wiggle
 from readloom.streaming import windows
@@ -447,6 +447,65 @@ def windows_session(spark, folder):
     return windows.windowed(table(spark, folder, "events"), "ts", ["user_id"], windows.sessions("ts", "12 hours"), n=F.count(F.lit(1)))
 
 
+def _segments(spark, folder):
+    """Three shipments of an order as segments of a gene on the supplier modulo 10."""
+    return _reads(spark, folder).where("l_linenumber <= 3").select(
+        (F.col("l_orderkey") % 10).alias("target"), F.col("l_orderkey").alias("annotation_id"), "start", (F.col("start") + 5).alias("end")
+    ).distinct()
+
+
+def gene_counts(spark, folder):
+    reads = _reads(spark, folder).where("l_returnflag = 'A'").select((F.col("target") % 10).alias("target"), "start", (F.col("start") + 2).alias("end"))
+    few = _segments(spark, folder).where("annotation_id % 50 < 5")
+    return annotation.gene_counts(reads, few, 512, 1 << 10)
+
+
+def constitutive_segments(spark, folder):
+    return annotation.shared_segments(_segments(spark, folder), 16)
+
+
+def formula_counts(spark, folder):
+    m = _matrix(spark, folder).groupBy("element").agg(F.sum("count").alias("raw"), F.count(F.lit(1)).alias("w"))
+    value = lambda n: F.round(annotation.combine_by_formula(F.col("raw"), F.col("raw") / 2 + F.col("w"), n), 4).alias(n.lower())
+    return m.select("element", value("FORMULA2"), value("FORMULA3"), value("FORMULA4"))
+
+
+def sample_pairs(spark, folder):
+    return annotation.sample_pairs(_matrix(spark, folder).select("sample", "grp").distinct())
+
+
+def wide_counts(spark, folder):
+    return annotation.wide_counts(_matrix(spark, folder), ["NATION_0", "NATION_1", "NATION_2"])
+
+
+def site_spacing(spark, folder):
+    return annotation.spacing(_reads(spark, folder), "target", "start")
+
+
+def kmer_successors(spark, folder):
+    rows = _sequences(spark, folder).withColumn("grp", F.when(F.col("read_index") % 2 == 0, "a").otherwise("b"))
+    return reads.successors(rows, "sequence", "grp", 5, approximate=False)
+
+
+def heptamer_weights(spark, folder):
+    return reads.heptamer_weights(_sequences(spark, folder), "sequence").withColumn("weight", F.round("weight", 6))
+
+
+def sex_of_samples(spark, folder):
+    records = table(spark, folder, "vcf_records")
+    return reads.infer_sex(records.withColumn("s", F.col("file_id") % 3), "s", "chrom")
+
+
+def length_filter(spark, folder):
+    return reads.length_between(_sequences(spark, folder), "read_length", 40, 60).groupBy("read_length").agg(F.count(F.lit(1)).alias("n"))
+
+
+def coded_genotypes(spark, folder):
+    rows = table(spark, folder, "vcf_records").where("ref_allele is not null and alt is not null")
+    code = annotation.code_genotype(F.concat_ws("/", "ref_allele", "alt"), F.col("ref_allele"), F.array("alt"))
+    return rows.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -458,6 +517,8 @@ QUERIES = {
         quality_left_over, filter_quarter, filter_diploid, filter_strand_bias, filter_chain, genotype_calls, allele_groups, compared_groups,
         somatic_candidates, indel_rates, methylation_sites, methylation_regions, pair_statistics, empirical_p, props_flat, column_types,
         common_positions, positions_only_in, genotype_concordance, transition_counts, windows_tumbling, windows_sliding, windows_session,
+        gene_counts, constitutive_segments, formula_counts, sample_pairs, wide_counts, site_spacing, kmer_successors, heptamer_weights,
+        sex_of_samples, length_filter, coded_genotypes,
     )
 }
 QUERIES["read_set_kept"] = _read_set(True)

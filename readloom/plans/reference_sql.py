@@ -195,4 +195,30 @@ ORACLES = {
         SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 12 HOUR AS window_end, count(*) AS n FROM s GROUP BY user_id, k""",
     "read_set_kept": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "read_set_removed": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
+    "gene_counts": f"""WITH {_READS}, seg AS (SELECT DISTINCT l_orderkey % 10 AS target, l_orderkey AS annotation_id, s, s + 5 AS e FROM reads WHERE l_linenumber <= 3 AND l_orderkey % 50 < 5),
+        g AS (SELECT target, annotation_id, min(s) AS s, max(e) AS e FROM seg GROUP BY ALL), r AS (SELECT target % 10 AS target, s, s + 2 AS e FROM reads WHERE l_returnflag = 'A'),
+        gaps AS (SELECT target, annotation_id, u AS s, s AS e FROM (SELECT *, max(e) OVER (PARTITION BY target, annotation_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM seg) WHERE s > u),
+        o AS (SELECT g.target, g.annotation_id, count(r.s) AS n FROM g LEFT JOIN r ON r.target = g.target AND r.s < g.e AND r.e > g.s GROUP BY ALL),
+        i AS (SELECT gaps.target, annotation_id, count(*) AS n FROM gaps JOIN r ON r.target = gaps.target AND r.s >= gaps.s AND r.e <= gaps.e GROUP BY ALL)
+        SELECT o.target, o.annotation_id, o.n - coalesce(i.n, 0) AS n FROM o LEFT JOIN i USING (target, annotation_id)""",
+    "constitutive_segments": f"""WITH {_READS}, seg AS (SELECT DISTINCT l_orderkey % 10 AS target, l_orderkey AS annotation_id, s, s + 5 AS e FROM reads WHERE l_linenumber <= 3)
+        SELECT target, annotation_id, s AS start, e AS "end" FROM seg a WHERE NOT EXISTS (SELECT 1 FROM seg b WHERE b.target = a.target AND b.annotation_id <> a.annotation_id AND a.s < b.e AND b.s < a.e)""",
+    "formula_counts": f"""WITH {_MATRIX}, x AS (SELECT element, sum(c)::DOUBLE AS raw, sum(c)::DOUBLE / 2 + count(*) AS g FROM matrix GROUP BY element)
+        SELECT element, round(exp(-1.57361718748031::DOUBLE - 3.62887641327823::DOUBLE * ln(g / raw) + ln(raw)), 4) AS formula2,
+            round(exp(-0.843924877396631::DOUBLE + 0.887303234304011::DOUBLE * ln(raw + 1) - 3.45874660923795::DOUBLE * ln((g + 1) / (raw + 1))), 4) AS formula3,
+            round(exp(-1.4050204825287::DOUBLE - 3.5820783386146::DOUBLE * ln(g / raw) + ln(raw)), 4) AS formula4 FROM x""",
+    "sample_pairs": f"""WITH {_MATRIX}, s AS (SELECT DISTINCT sample, grp FROM matrix)
+        SELECT a.sample AS a, b.sample AS b, CASE WHEN a.grp = b.grp THEN 'within' ELSE 'between' END AS kind FROM s a, s b WHERE a.grp = b.grp AND a.sample < b.sample OR a.grp < b.grp""",
+    "wide_counts": f"""WITH {_MATRIX} SELECT element, CAST(sum(CASE WHEN sample = 'NATION_0' THEN c ELSE 0 END) AS BIGINT) AS "NATION_0",
+        CAST(sum(CASE WHEN sample = 'NATION_1' THEN c ELSE 0 END) AS BIGINT) AS "NATION_1", CAST(sum(CASE WHEN sample = 'NATION_2' THEN c ELSE 0 END) AS BIGINT) AS "NATION_2" FROM matrix GROUP BY element""",
+    "site_spacing": f"""WITH {_READS}, p AS (SELECT DISTINCT target, s FROM reads), d AS (SELECT s - lag(s) OVER (PARTITION BY target ORDER BY s) AS distance FROM p)
+        SELECT distance, count(*) AS n FROM d WHERE distance IS NOT NULL GROUP BY 1""",
+    "kmer_successors": f"""WITH {_SEQ}, k AS (SELECT read_index, t[i:i + 5] AS m FROM (SELECT read_index, t, unnest(range(1, length(t) - 4)) AS i FROM seqs WHERE length(t) >= 6))
+        SELECT m[1:5] AS kmer, CASE WHEN read_index % 2 = 0 THEN 'a' ELSE 'b' END AS grp, count(DISTINCT m[6:6]) AS n FROM k WHERE regexp_full_match(m, '[ACGT]+') GROUP BY 1, 2""",
+    "heptamer_weights": f"""WITH {_SEQ}, k AS (SELECT p, t[p + 1:p + 7] AS kmer FROM (SELECT t, unnest([0, 1, 23, 24, 25, 26, 27, 28]) AS p FROM seqs)),
+        c AS (SELECT kmer, p, count(*) AS n FROM k WHERE regexp_full_match(kmer, '[ACGT]{{7}}') GROUP BY 1, 2), s AS (SELECT kmer, p, n::DOUBLE / sum(n) OVER (PARTITION BY p) AS share FROM c)
+        SELECT kmer, round(coalesce(sum(share) FILTER (p >= 2), 0) / 6 / (sum(share) FILTER (p < 2) / 2), 6) AS weight FROM s GROUP BY kmer HAVING sum(share) FILTER (p < 2) > 0""",
+    "sex_of_samples": """WITH c AS (SELECT file_id % 3 AS sample, count(*) FILTER (chrom IN ('X', 'chrX')) AS hits_x, count(*) FILTER (chrom IN ('Y', 'chrY')) AS hits_y FROM vcf_records GROUP BY 1)
+        SELECT *, CASE WHEN hits_x >= 100 * hits_y AND hits_x > 0 THEN 'female' ELSE 'male' END AS sex FROM c""",
+    "length_filter": "SELECT read_length, count(*) AS n FROM read_entries WHERE read_length BETWEEN 40 AND 60 GROUP BY 1",
 }
