@@ -41,21 +41,21 @@ class Settings(NamedTuple):
     its first ``function_words``, if on ``function_pages`` of them, are function words. Repeats are
     three equal content words within ``span``, separators belong to lists within ``close``. Pages
     with a share of at most ``marks`` of links, tags and repeats are prose, those with
-    ``garbage`` of garbage illegible. N-grams are counted in ``2**slot_bits`` slots; surprisal is
+    ``garbage`` of garbage illegible. Triples are counted in ``2**slot_bits`` slots; surprisal is
     averaged over ``window`` words to either side.
     """
 
-    most_words: int = 4000
+    most_words: int = 1000
     least_pages: float = 0.0015
     function_words: int = 200
     function_pages: float = 0.02
-    slot_bits: int = 20
+    slot_bits: int = 21
     span: int = 9
     close: int = 4
     window: int = 6
     marks: float = 0.05
     garbage: float = 0.3
-    high: float = 16.0
+    high: float = 9.0
     low: float = 16.0
 
 
@@ -167,43 +167,42 @@ def is_prose(marks: np.ndarray, garbage: np.ndarray, s: Settings) -> np.ndarray:
     return (marks <= s.marks) | (garbage >= s.garbage)
 
 
-def _slots(symbol: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word the slots of its n-grams: one, two, three words, and of the two words before it."""
+def _slots(symbol: np.ndarray, n_symbols: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word the places of its pair and (hashed) triple, the pair before it, and whether it touches a mark."""
     before = np.concatenate(([START], symbol[:-1]))
     first = np.concatenate(([START], before[:-1]))
-    with np.errstate(over="ignore"):
-        mix = lambda *parts: _mix(parts, bits)
-        return symbol, mix(before, symbol), mix(first, before, symbol), mix(first, before)
-
-
-def _mix(parts: tuple[np.ndarray, ...], bits: int) -> np.ndarray:
-    value = np.full(len(parts[0]), 0x9E3779B97F4A7C15 + len(parts), dtype=np.uint64)
-    for part in parts:
-        value = (value ^ part.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
-        value ^= value >> np.uint64(32)
-    return (value & np.uint64((1 << bits) - 1)).astype(np.int64)
+    pair, context = before * n_symbols + symbol, first * n_symbols + before
+    value = (context * n_symbols + symbol).astype(np.uint64)
+    value = (value ^ (value >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    triple = (value >> np.uint64(64 - bits)).astype(np.int64)
+    mark = np.isin(symbol, MARKS)
+    near = mark | np.append(False, mark[:-1]) | np.append([False, False], mark[:-2])[: len(mark)]
+    return pair, triple, context, near
 
 
 class Model:
-    """Interpolated one-, two- and three-word model with counts in tables of fixed size."""
+    """Interpolated one-, two- and three-word model.
+
+    Pairs have a place each; triples share ``2**bits`` slots. Marks are no part of prose: nothing
+    that touches one was counted, and none takes part in another's slot.
+    """
 
     def __init__(self, n_symbols: int, bits: int, counts: np.ndarray):
-        self.bits = bits
-        size = 1 << bits
-        self.one, self.two, self.three = np.split(counts.astype(np.float32), [n_symbols, n_symbols + size])
+        self.n_symbols, self.bits = n_symbols, bits
+        self.one, self.two, self.three = np.split(counts.astype(np.float32), [n_symbols, n_symbols + n_symbols**2])
         self.total = float(self.one.sum())
 
     def surprisal(self, symbol: np.ndarray) -> np.ndarray:
         """Bits of each word after the two before it."""
-        one, two, three, context = _slots(symbol, self.bits)
+        pair, triple, context, near = _slots(symbol, self.n_symbols, self.bits)
         before = np.concatenate(([START], symbol[:-1]))
-        p1 = (self.one[one] + 0.5) / (self.total + 0.5 * len(self.one))
-        c2 = self.one[before]
+        p1 = (self.one[symbol] + 0.5) / (self.total + 0.5 * len(self.one))
+        c2 = np.where(near, 0.0, self.one[before])
         l2 = c2 / (c2 + 5.0)
-        p2 = np.minimum(self.two[two] / np.maximum(c2, 1.0), 1.0)
-        c3 = self.two[context]
+        p2 = np.minimum(self.two[pair] / np.maximum(c2, 1.0), 1.0)
+        c3 = np.where(near, 0.0, self.two[context])
         l3 = c3 / (c3 + 5.0) * 0.8
-        p3 = np.minimum(self.three[three] / np.maximum(c3, 1.0), 1.0)
+        p3 = np.minimum(self.three[triple] / np.maximum(c3, 1.0), 1.0)
         return -np.log2(l3 * p3 + (1 - l3) * (l2 * 0.9 * p2 + (1 - 0.9 * l2) * p1))
 
 
@@ -277,22 +276,24 @@ def _told(found: Counter, n_pages: int) -> pa.RecordBatch:
     )
 
 
+def _table_size(n_symbols: int, s: Settings) -> int:
+    return n_symbols + n_symbols**2 + (1 << s.slot_bits)
+
+
 def _train(lexicon: dict[str, int], functions: frozenset[str], s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, size, n_symbols = _Words(lexicon, functions), 1 << s.slot_bits, N_CLASSES + len(lexicon)
-        found = np.zeros(n_symbols + 2 * size, dtype=np.int64)
+        words, n_symbols = _Words(lexicon, functions), N_CLASSES + len(lexicon)
+        found = np.zeros(_table_size(n_symbols, s), dtype=np.int64)
         for batch in slices(batches, 0):
             texts = batch.column(0).to_pylist()
             pages = read_pages(texts, words, s)
             _, *shares = page_marks(pages, len(texts))
-            use = is_prose(*shares, s)[pages.page]
-            one, two, three, _ = _slots(pages.symbol, s.slot_bits)
+            pair, triple, _, near = _slots(pages.symbol, n_symbols, s.slot_bits)
             # Stray marks on prose pages are no prose.
-            mark = np.isin(pages.symbol, MARKS)
-            use &= ~(mark | np.append(False, mark[:-1]) | np.append([False, False], mark[:-2]))
-            for slots, at in ((one, 0), (two, n_symbols), (three, n_symbols + size)):
-                slot, n = np.unique(slots[use], return_counts=True)
-                found[slot + at] += n
+            use = is_prose(*shares, s)[pages.page] & ~near
+            for places, start in ((pages.symbol, 0), (pair, n_symbols), (triple, n_symbols + n_symbols**2)):
+                place, n = np.unique(places[use], return_counts=True)
+                found[place + start] += n
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["slot", "n"])
 
@@ -323,7 +324,7 @@ def score_pages(df: DataFrame, key: str, text: str = "text", settings: Settings
 
     Three passes over all texts: the widespread words of pages without links and tags (at
     most ``most_words`` reach the driver), the n-gram counts of prose pages (tables of
-    ``2**slot_bits`` slots), and the scores. ``odd`` pages lie more than ``high`` deviations
+    ``most_words**2`` pairs and ``2**slot_bits`` slots of triples), and the scores. ``odd`` pages lie more than ``high`` deviations
     above or ``low`` below the median of the prose pages and are no garbage. A deviation is
     1.4826 times the median absolute one.
 
@@ -345,7 +346,7 @@ def score_pages(df: DataFrame, key: str, text: str = "text", settings: Settings
     spread = common["word"][common["n"] >= s.function_pages * total]
     functions = frozenset(spread[: s.function_words])
     parts = told.mapInArrow(_train(lexicon, functions, s), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(N_CLASSES + len(lexicon) + 2 * (1 << s.slot_bits), dtype=np.float32)
+    counts = np.zeros(_table_size(N_CLASSES + len(lexicon), s), dtype=np.float32)
     counts[parts.column("slot").to_numpy()] = parts.column("n").to_numpy()
     model = Model(N_CLASSES + len(lexicon), s.slot_bits, counts)
     shared = df.sparkSession.sparkContext.broadcast((lexicon, functions, model))
