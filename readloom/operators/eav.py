@@ -139,7 +139,7 @@ def pivot_attributes(
         present = {a.name for a in attributes}
     else:
         names = [a.name.lower() for a in attributes]
-        present = {r.attribute_key for r in seen.where(F.col("attribute_key").isin(names)).collect()}
+        present = {r.attribute_key for r in seen.where(F.col("attribute_key").isin(names)).select("attribute_key").collect()}
     spark = rows.sparkSession
     known = spark.createDataFrame(
         [(i, a.name.lower(), a.kind, a.arity) for i, a in enumerate(attributes) if a.name.lower() in present],
