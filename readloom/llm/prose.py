@@ -65,11 +65,17 @@ class _Words(dict):
     def __init__(self, lexicon: dict[str, int], functions: frozenset[str]):
         super().__init__()
         self.lexicon, self.functions = lexicon, functions
-        self.symbol, self.stem, self.size = [START], [0], [0]
+        self.start()
+
+    def start(self) -> None:
+        self.clear()
+        self.symbol, self.stem, self.size, self.core = [START], [0], [0], [0]
+        self.cores: dict[str, int] = {"": 0}
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self.symbol)
         core = word.strip(_EDGE).lower()
+        self.core.append(self.cores.setdefault(core, len(self.cores)))
         if any(c.isdigit() for c in core) and sum(map(str.isalpha, core)) > sum(map(str.isdigit, core)):
             core = core.translate(_LETTER_LIKE)
         self.symbol.append(self._class(word, core))
@@ -114,6 +120,7 @@ def hash_of(text: str) -> int:
 class Pages(NamedTuple):
     """The words of many pages one after another, two start symbols before each."""
 
+    number: np.ndarray
     symbol: np.ndarray
     size: np.ndarray
     page: np.ndarray
@@ -121,8 +128,7 @@ class Pages(NamedTuple):
 
 def read_pages(texts: list[str | None], words: _Words, settings: Settings) -> Pages:
     if len(words) > 500_000:
-        words.clear()
-        words.symbol, words.stem, words.size = [START], [0], [0]
+        words.start()
     look, numbers, lengths = words.__getitem__, [], []
     for text in texts:
         numbers += (0, 0)
@@ -152,7 +158,7 @@ def read_pages(texts: list[str | None], words: _Words, settings: Settings) -> Pa
     # One of three equal content words that lie within the span.
     thrice = (back >= 2) | (ahead >= 2) | (last + next_ <= settings.span)
     repeated = thrice & ~np.isin(symbol, (LINK, TAG, GARBAGE)) | dense
-    return Pages(np.where(repeated, REPEAT, symbol), np.array(words.size, dtype=np.int64)[at], page)
+    return Pages(at, np.where(repeated, REPEAT, symbol), np.array(words.size, dtype=np.int64)[at], page)
 
 
 def page_marks(pages: Pages, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,15 +256,20 @@ def _count_pages(s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, found, n_clean = _Words({}, frozenset()), Counter(), 0
+        # Without function words their repeats can't be told from others', so none are sought.
+        plain = s._replace(span=0)
         for batch in slices(batches, 0):
             texts = batch.column(0).to_pylist()
-            pages = read_pages(texts, words, s)
-            # Without function words their repeats can't be told from others'.
+            pages = read_pages(texts, words, plain)
             n = np.maximum(np.bincount(pages.page[pages.symbol != START], minlength=len(texts)), 1)
             clean = np.bincount(pages.page[np.isin(pages.symbol, (LINK, TAG))], minlength=len(texts)) <= s.marks * n
-            for text, good in zip(texts, clean):
-                if good and text:
-                    found.update({w.strip(_EDGE).lower() for w in _BREAK.sub("", text).split()})
+            core = np.array(words.core, dtype=np.int64)[pages.number]
+            use = clean[pages.page] & (core > 0)
+            pairs = np.unique(pages.page[use] * len(words.cores) + core[use])
+            times = np.bincount(pairs % len(words.cores), minlength=len(words.cores))
+            names = list(words.cores)
+            for i in np.flatnonzero(times):
+                found[names[i]] += int(times[i])
             n_clean += int(clean.sum())
             if len(found) > 300_000:
                 yield _told(found, 0)
