@@ -179,13 +179,18 @@ def canonical_ids(fields: DataFrame, declared: DataFrame) -> DataFrame:
     )
 
 
-def project_typed(paths: DataFrame, ids: DataFrame, attributes: Sequence, entity: str = "record_id") -> DataFrame:
+def project_typed(
+    paths: DataFrame, ids: DataFrame, attributes: Sequence, entity: str = "record_id", records: DataFrame | None = None
+) -> DataFrame:
     """One row per record with typed columns; what no column takes is reported, not lost.
 
     ``paths`` has ``file_id``, the entity, ``column_name``, ``field_id`` and ``value``; ``ids``
     are canonical ids. ``others`` maps fields that are not in force to their raw values,
-    ``failed_casts`` those whose value does not fit the type in force.
+    ``failed_casts`` those whose value does not fit the type in force. Records of ``records``
+    (``file_id`` and the entity) without any path have a row without values.
     """
+    if records is not None:
+        paths = paths.unionByName(records.select("file_id", entity), allowMissingColumns=True)
     named = paths.join(ids, ["file_id", "column_name", "field_id"], "left").withColumn(
         "canonical_id", F.coalesce("canonical_id", "field_id")
     )

@@ -63,7 +63,9 @@ def p2_types(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, folder: str) -> DataFrame:
     ids = drift.canonical_ids(_fields(spark, folder), table(spark, folder, "column_fields"))
-    return drift.project_typed(_paths(spark, folder), ids, _info_attributes(spark, folder))
+    return drift.project_typed(
+        _paths(spark, folder), ids, _info_attributes(spark, folder), records=table(spark, folder, "vcf_records")
+    )
 
 
 LINE_TABLES = ("tsv_with_header_spaces", "no_format")

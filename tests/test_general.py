@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import values as V
 from readloom.operators import badrows, drift, eav, packed
+from readloom.plans import general
 
 T0 = dt.datetime(2024, 1, 1)
 ROWS = "entity_id long, attribute string, value string, loaded_at timestamp, extra string, __text string"
@@ -127,6 +128,36 @@ def test_typed_projection_reports_failed_casts(spark):
     assert {(r.path, r.raw_type): r.n_values for r in stats.collect()}[("DP", "String")] == 1
 
 
+def variant_tables(spark, folder, records):
+    """The tables of problem 2 with one file; ``records`` are record_id, info, format and samples."""
+    header = [
+        '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">', '##INFO=<ID=OLD,Number=1,Type=Float,Description="Share">',
+        '##FORMAT=<ID=GT,Number=1,Type=String,Description="Alleles">', '##FORMAT=<ID=Reads,Number=1,Type=Integer,Description="Bases, good">',
+    ]
+    declared = [
+        ("INFO", "DP", 1, "Integer", "Depth"), ("INFO", "AF", 1, "Float", "Share"), ("FORMAT", "GT", 1, "String", "Alleles"),
+        ("FORMAT", "DP", 1, "Integer", "Bases good"), ("FORMAT", "PL", 3, "Integer", "Likelihoods"),
+    ]
+    for name, data, schema in (
+        ("vcf_headers", [(1, i, line) for i, line in enumerate(header)], "file_id long, line_no int, line string"),
+        ("column_fields", declared, "column_name string, field_id string, number_of_values int, type string, description string"),
+        ("vcf_records", [(1, *r) for r in records], "file_id long, record_id long, info string, format string, samples array<string>"),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_records_without_info_keep_their_row(spark, tmp_path):
+    folder = variant_tables(spark, tmp_path, [
+        (1, "DP=7;OLD=0.5", None, []), (2, None, None, []), (3, "", None, []), (4, ".", None, []), (5, " ", None, None),
+        *[(i, f"DP={i};OLD=0.{i}", None, []) for i in range(10, 70)],
+    ])
+    out = {r.record_id: r for r in general.p2_table(spark, folder).collect()}
+    assert sorted(out) == [1, 2, 3, 4, 5, *range(10, 70)]
+    assert (out[1].DP, out[1].AF) == (7, 0.5)
+    assert all((out[i].file_id, out[i].DP, out[i].AF, out[i].others, out[i].failed_casts) == (1, None, None, {}, {}) for i in (2, 3, 4, 5))
+
+
 COLUMNS = [badrows.FileColumn("id", "String", True), badrows.FileColumn("n", "Integer", True), badrows.FileColumn("x", "Float", False)]
 CASES = [
     ("id\tn\tx", "none"), ("﻿id\tn\tx\r", "none"), ("# hi", "none"), (None, "none"), ("\t \t\r", "none"), ("a\t1\t2.5", None),
