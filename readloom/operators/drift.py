@@ -180,45 +180,72 @@ def canonical_ids(fields: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def project_typed(
-    paths: DataFrame, ids: DataFrame, attributes: Sequence, entity: str = "record_id", records: DataFrame | None = None
+    paths: DataFrame, ids: DataFrame, attributes: Sequence, entity: str = "record_id", records: DataFrame | None = None,
+    formats: Sequence = (),
 ) -> DataFrame:
     """One row per record with typed columns; what no column takes is reported, not lost.
 
-    ``paths`` has ``file_id``, the entity, ``column_name``, ``field_id`` and ``value``; ``ids``
-    are canonical ids. ``others`` maps fields that are not in force to their raw values,
-    ``failed_casts`` those whose value does not fit the type in force. Records of ``records``
-    (``file_id`` and the entity) without any path have a row without values.
+    ``paths`` has ``file_id``, the entity, ``column_name``, ``field_id`` and ``value``, and for
+    values of samples ``sample`` (from 1; else null); ``ids`` are canonical ids. ``attributes``
+    are those of INFO. Those of FORMAT (``formats``) have a column ``FORMAT/id``, an array
+    with one member for each sample. ``others`` maps fields that are not in force to their raw
+    values, ``failed_casts`` those whose value does not fit the type in force; fields of a
+    sample are named ``FORMAT/id/sample``. Records of ``records`` (``file_id`` and the entity)
+    without any path have a row without values.
+
+    Values are gathered by record and sample, then by record: work grows with the samples, not their square.
     """
+    from readloom.operators.eav import _typed, typed_value
+
+    if "sample" not in paths.columns:
+        paths = paths.withColumn("sample", F.lit(None).cast("int"))
     if records is not None:
         paths = paths.unionByName(records.select("file_id", entity), allowMissingColumns=True)
     named = paths.join(ids, ["file_id", "column_name", "field_id"], "left").withColumn(
         "canonical_id", F.coalesce("canonical_id", "field_id")
     )
+    every = [*(("INFO", a) for a in attributes), *(("FORMAT", a) for a in formats)]
     known = paths.sparkSession.createDataFrame(
-        [(i, a.name, a.kind, a.arity) for i, a in enumerate(attributes)], "__i int, canonical_id string, __kind string, __arity int"
+        [(i, c, a.name, a.kind, a.arity) for i, (c, a) in enumerate(every)],
+        "__i int, column_name string, canonical_id string, __kind string, __arity int",
     )
     cells = fenced(
-        named.join(F.broadcast(known), "canonical_id", "left"),
+        named.join(F.broadcast(known), ["column_name", "canonical_id"], "left"),
         __text=V.canonical(F.col("value"), F.col("__kind"), F.col("__arity")),
     )
-    cell = F.struct("canonical_id", F.coalesce("value", F.lit("")).alias("value"))
-    wide = cells.groupBy("file_id", entity).agg(
-        *[F.max(F.when(F.col("__i") == i, F.col("__text"))).alias(f"__c{i}") for i in range(len(attributes))],
+    name = F.when(F.col("sample").isNull(), F.col("canonical_id")).otherwise(
+        F.concat_ws("/", "column_name", "canonical_id", "sample")
+    )
+    cell = F.struct(name.alias("name"), F.coalesce("value", F.lit("")).alias("value"))
+
+    def entries(cells: str) -> Column:
+        keys = F.array_distinct(F.transform(cells, lambda c: c["name"]))
+        return F.transform(keys, lambda k: F.struct(
+            k.alias("name"), F.array_max(F.transform(F.filter(cells, lambda c: c["name"] == k), lambda c: c["value"])).alias("value")
+        ))
+
+    parts = cells.groupBy("file_id", entity, "sample").agg(
+        *[F.max(F.when(F.col("__i") == i, F.col("__text"))).alias(f"__c{i}") for i in range(len(every))],
         F.collect_set(F.when(F.col("__i").isNull() & F.col("canonical_id").isNotNull(), cell)).alias("__others"),
         F.collect_set(F.when(
             F.col("__i").isNotNull() & F.col("__text").isNull() & ~V.is_missing(F.col("value")), cell
         )).alias("__failed"),
+    ).withColumns({c: entries(c) for c in ("__others", "__failed")})
+    of_info = range(len(attributes))
+    of_format = range(len(attributes), len(every))
+    wide = parts.groupBy("file_id", entity).agg(
+        *[F.max(f"__c{i}").alias(f"__c{i}") for i in of_info],
+        F.array_sort(F.collect_list(F.when(
+            F.col("sample").isNotNull(), F.struct("sample", *[f"__c{i}" for i in of_format])
+        ))).alias("__samples"),
+        *[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("__others", "__failed")],
     )
 
-    def as_map(cells: str) -> Column:
-        keys = F.array_sort(F.array_distinct(F.transform(cells, lambda c: c["canonical_id"])))
-        return F.map_from_arrays(
-            keys, F.transform(keys, lambda k: F.array_max(F.transform(F.filter(cells, lambda c: c["canonical_id"] == k), lambda c: c["value"])))
-        )
-
-    from readloom.operators.eav import _typed
+    def by_sample(i: int, attribute) -> Column:
+        return F.transform("__samples", lambda s: typed_value(s[f"__c{i}"], attribute))
 
     return wide.select(
-        "file_id", entity, *[_typed(f"__c{i}", a).alias(a.name) for i, a in enumerate(attributes)],
-        as_map("__others").alias("others"), as_map("__failed").alias("failed_casts"),
+        "file_id", entity, *[_typed(f"__c{i}", a).alias(a.name) for i, a in zip(of_info, attributes)],
+        *[by_sample(i, a).alias(f"FORMAT/{a.name}") for i, a in zip(of_format, formats)],
+        F.map_from_entries("__others").alias("others"), F.map_from_entries("__failed").alias("failed_casts"),
     )

@@ -85,8 +85,8 @@ def declared_attributes(
     return sorted(unique.values())
 
 
-def _typed(name: str, attribute: Attribute) -> Column:
-    text = F.col(f"`{name}`")
+def typed_value(text: Column, attribute: Attribute) -> Column:
+    """Canonical text under the type of its attribute."""
     kind = attribute.kind.strip().lower()
     if kind == "flag":
         return text == "true"
@@ -99,6 +99,10 @@ def _typed(name: str, attribute: Attribute) -> Column:
     return F.transform(F.split(text, ",", -1), cast) if attribute.arity > 1 else cast(text)
 
 
+def _typed(name: str, attribute: Attribute) -> Column:
+    return typed_value(F.col(f"`{name}`"), attribute)
+
+
 def pivot_attributes(
     rows: DataFrame,
     attributes: Sequence[Attribute] | None,

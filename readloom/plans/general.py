@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.functions import values as V
 from readloom.operators import badrows, drift, eav, packed
 
 
@@ -12,13 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _info_attributes(spark: SparkSession, folder: str) -> list[eav.Attribute]:
-    return eav.declared_attributes(table(spark, folder, "column_fields").where("column_name = 'INFO'"))
+def _attributes(spark: SparkSession, folder: str, column: str) -> list[eav.Attribute]:
+    return eav.declared_attributes(table(spark, folder, "column_fields").where(F.col("column_name") == column))
 
 
 def _info_wide(spark: SparkSession, folder: str, typed: bool) -> DataFrame:
     return eav.pivot_attributes(
-        table(spark, folder, "info_rows"), _info_attributes(spark, folder),
+        table(spark, folder, "info_rows"), _attributes(spark, folder, "INFO"),
         "site_id", "attribute", "info_value", ("loaded_at", "row_id"), "INFO/", typed,
     )
 
@@ -44,16 +45,33 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, folder: str) -> DataFrame:
-    """INFO of all records as paths and raw values."""
-    records = table(spark, folder, "vcf_records")
-    entries = packed.unpack(
-        records.select(F.struct("file_id", "record_id").alias("id"), "info"), "id", {"info": packed.VCF_PACKINGS["info"]}
-    )
+    """INFO and FORMAT of all records as paths and raw values, those of FORMAT once for each sample (from 1).
+
+    The values of a sample stand in the order of the FORMAT items; values without an item are
+    named by their position, ``#1`` and so on, items without a value are null.
+    """
+    records = table(spark, folder, "vcf_records").select(F.struct("file_id", "record_id").alias("id"), "info", "format", "samples")
+    entries = packed.unpack(records, "id", {c: packed.VCF_PACKINGS[c] for c in ("info", "format")})
     split = F.split("item", "=", 2)
-    return entries.select(
-        "id.file_id", "id.record_id", F.lit("INFO").alias("column_name"),
+    info = entries.where("column_name = 'info'").select(
+        "id.file_id", "id.record_id", F.lit("INFO").alias("column_name"), F.lit(None).cast("int").alias("sample"),
         F.btrim(split[0]).alias("field_id"), F.get(split, 1).alias("value"),
     )
+    # Union and aggregation instead of a join: records without FORMAT or with null ids stay.
+    named = (
+        entries.where("column_name = 'format'").select("id", F.struct("item_pos", "item").alias("item"))
+        .unionByName(records.select("id", "samples"), allowMissingColumns=True)
+        .groupBy("id").agg(F.array_sort(F.collect_list("item"))["item"].alias("items"), F.max("samples").alias("samples"))
+        .select("id", "items", F.posexplode("samples").alias("sample", "values"))
+        .withColumn("values", F.coalesce(F.split("values", ":", -1), F.array().cast("array<string>")))
+    )
+    position = F.sequence(F.lit(0), F.greatest(F.size("items"), F.size("values")) - 1)
+    values = named.where("size(items) > 0 or size(values) > 0").withColumn("at", F.explode(position))
+    return info.unionByName(values.select(
+        "id.file_id", "id.record_id", F.lit("FORMAT").alias("column_name"), (F.col("sample") + 1).alias("sample"),
+        F.coalesce(F.get("items", F.col("at")), F.concat(F.lit("#"), F.col("at") + 1)).alias("field_id"),
+        V.trimmed(F.get("values", F.col("at"))).alias("value"),
+    ))
 
 
 def p2_types(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +82,8 @@ def p2_types(spark: SparkSession, folder: str) -> DataFrame:
 def p2_table(spark: SparkSession, folder: str) -> DataFrame:
     ids = drift.canonical_ids(_fields(spark, folder), table(spark, folder, "column_fields"))
     return drift.project_typed(
-        _paths(spark, folder), ids, _info_attributes(spark, folder), records=table(spark, folder, "vcf_records")
+        _paths(spark, folder), ids, _attributes(spark, folder, "INFO"),
+        records=table(spark, folder, "vcf_records"), formats=_attributes(spark, folder, "FORMAT"),
     )
 
 

@@ -158,6 +158,25 @@ def test_records_without_info_keep_their_row(spark, tmp_path):
     assert all((out[i].file_id, out[i].DP, out[i].AF, out[i].others, out[i].failed_casts) == (1, None, None, {}, {}) for i in (2, 3, 4, 5))
 
 
+def test_format_values_of_every_sample(spark, tmp_path):
+    folder = variant_tables(spark, tmp_path, [
+        (1, "DP=7", "GT:Reads:PL:XQ", ["0/1:3:1,2,3:a", "1/1:many:4:b", None]), (2, None, "GT;Reads", ["0/0"]), (3, "DP=8", ".", ["0/1:5"]),
+        *[(i, f"DP={i}", "GT:Reads", [f"0/1:{i}"]) for i in range(10, 70)],
+    ])
+    out = {r.record_id: r for r in general.p2_table(spark, folder).collect()}
+    assert len(out) == 63
+    one = out[1]
+    assert (one.DP, one["FORMAT/GT"], one["FORMAT/DP"], one["FORMAT/PL"]) == (7, ["0/1", "1/1", None], [3, None, None], [[1, 2, 3], None, None])
+    assert one.others == {"FORMAT/XQ/1": "a", "FORMAT/XQ/2": "b", "FORMAT/XQ/3": ""}
+    assert one.failed_casts == {"FORMAT/DP/2": "many", "FORMAT/PL/2": "4"}
+    assert (out[2].DP, out[2]["FORMAT/GT"], out[2]["FORMAT/DP"]) == (None, ["0/0"], [None])
+    assert (out[3].DP, out[3]["FORMAT/GT"], out[3].others) == (8, [None], {"FORMAT/#1/1": "0/1", "FORMAT/#2/1": "5"})
+    assert (out[10].DP, out[10]["FORMAT/DP"]) == (10, [10])
+    stats = {(r.path, r.raw_type): r.n_values for r in general.p2_types(spark, folder).collect()}
+    assert (stats["FORMAT/Reads", "Integer"], stats["FORMAT/Reads", "String"], stats["FORMAT/Reads", "Missing"]) == (61, 1, 2)
+    assert stats["INFO/DP", "Integer"] == 62
+
+
 COLUMNS = [badrows.FileColumn("id", "String", True), badrows.FileColumn("n", "Integer", True), badrows.FileColumn("x", "Float", False)]
 CASES = [
     ("id\tn\tx", "none"), ("﻿id\tn\tx\r", "none"), ("# hi", "none"), (None, "none"), ("\t \t\r", "none"), ("a\t1\t2.5", None),
