@@ -1,11 +1,13 @@
 """Indels, reads and annotated elements on small fixtures."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from readloom.operators import annotation, indels, reads
+from readloom.plans import reference
 
 
 def placements(genome, start, from_, to):
@@ -122,3 +124,23 @@ def test_genotype_codes(spark):
     code = annotation.code_genotype(F.col("g"), F.lit("A"), F.array(F.lit("C"), F.lit("G")))
     got = [r.c for r in spark.createDataFrame([("A/C",), ("G",), ("T/A",)], "g string").select(code.alias("c")).collect()]
     assert got == ["0/1", "2/2", "./0"]
+
+
+def test_gene_counts_of_every_annotation_against_brute_force(spark, tmp_path):
+    draw = random.Random(8)
+    items = [(k, n, draw.randrange(40), draw.randrange(200), draw.randint(1, 50), draw.choice("ANR")) for k in range(1, 61) for n in range(1, 5)]
+    epoch = dt.date(1970, 1, 1)
+    spark.createDataFrame(
+        [(k, n, s, epoch + dt.timedelta(d), float(q), f, 0.0) for k, n, s, d, q, f in items],
+        "l_orderkey long, l_linenumber int, l_suppkey long, l_shipdate date, l_quantity double, l_returnflag string, l_discount double",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    hits = [(s % 10, d, d + 2) for _, _, s, d, _, f in items if f == "A"]
+    expected = {}
+    for gene in range(1, 61):
+        segments = sorted({(d, d + 5) for k, n, _, d, _, _ in items if k == gene and n <= 3})
+        reach = [max(e for _, e in segments[: i + 1]) for i in range(len(segments))]
+        gaps = [(reach[i], segments[i + 1][0]) for i in range(len(segments) - 1) if segments[i + 1][0] > reach[i]]
+        mine = [(s, e) for t, s, e in hits if t == gene % 10]
+        expected[gene] = sum(s < reach[-1] and e > segments[0][0] for s, e in mine) - sum(a <= s and e <= b for s, e in mine for a, b in gaps)
+    got = {r.annotation_id: r.n for r in reference.gene_counts(spark, str(tmp_path)).collect()}
+    assert got == expected
