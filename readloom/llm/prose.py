@@ -1,244 +1,144 @@
 """Pages of repeated keywords, link lists and product tags, found by their perplexity.
 
-A page is read as a sequence of symbols: widespread words stand for themselves, all others
-for a class (capitalised, lower case, number, link, tag, list separator, a word repeated at
-once, garbage). An n-gram model is trained on prose, that is on the pages of the corpus that
-hold next to no links, tags, separators and repeats. The median over a page's characters of
-the surprisal around them tells how unlike prose more than half of the page is.
+A page is read as a sequence of symbols: function words stand for themselves, all other
+tokens for a class (how widespread the word is and how it is written, the shape of what is no
+word, the number of digits, the mark). An n-gram model over these symbols is trained on the
+pages that papers print, and every page is scored by it: the median over its characters of
+the surprisal of the symbols around them tells how unlike print more than half of the page
+is. Links, tags and repeats have no symbols of their own: they only keep pages out of training.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.session import cut_lineage
 
-# Classes of words; words of the lexicon follow.
-START, LINK, TAG, SEPARATOR, REPEAT, GARBAGE, NUMBER, CAPITALS, CAPITAL, LOWER = range(10)
-N_CLASSES = 10
-MARKS = (LINK, TAG, REPEAT)
-_EDGE = " \t.,;:!?\"'()[]{}*«»„“”‘’`-—–_~^﻿"
+# What a token is; the rest of its code is a hash, a number of digits or the number of a mark.
+LOWER, CAPITAL, CAPITALS, NUMBER, MARK, SHAPE, OTHER_SCRIPT = range(1, 8)
+_HASH_BITS = 28
+_MASK = (1 << _HASH_BITS) - 1
+# Marks that are symbols of their own.
+MARKS = ".,;:!?-—()[]\"'/|#&%£$*·•»«=_@<>+"
 _BREAK = re.compile(r"[-=¬­]\s*\n\s*")
-_LINK = re.compile(r"://|^www\b|\bwww\.|href=|</?a\b|\]\(|^\.[a-z]{3,}|[a-z0-9]{2}\.[a-z]{4,}(?:[/)\]>?]|$)", re.I)
-_TAG = re.compile(r"^\W?#\w|^\w{2,}[:=_]\w")
+# From letter or digit to letter or digit without a blank, or one mark. Longer ones come in pieces.
+_TOKENS = re.compile(r"[^\W_](?:\S{0,198}[^\W_])?|\S").findall
+_RUNS = re.compile(r"[^\W\d_]+|\d+")
+_AGAIN = re.compile(r"(..?)\1+")
+_WORD_SHAPES = frozenset(("a", "a'a", "a’a"))
+_READABLE = re.compile(r"[^\W_]{3,}").findall
+# Which tokens keep a page out of training.
+_LINK = re.compile(r"://|^www\b|\bwww\.|href=|\]\(|[a-z0-9]{2}\.[a-z]{4,}(?:[/)\]>?]|$)", re.I).search
+_TAG = re.compile(r"^\w{2,}[:=_]\w").search
 _SEPARATORS = frozenset("|/>»·•→<\\")
-_LETTER_LIKE = str.maketrans("01¡", "oli")
 
 
 class Settings(NamedTuple):
-    """Parameters.
-
-    The lexicon holds at most ``most_words`` words of at least ``least_pages`` of the clean pages;
-    its first ``function_words``, if on ``function_pages`` of them, are function words. Repeats are
-    three equal content words within ``span``, separators belong to lists within ``close``. Pages
-    with a share of at most ``marks`` of links, tags and repeats are prose, those with
-    ``garbage`` of garbage illegible. Triples are counted in ``2**slot_bits`` slots; surprisal is
-    averaged over ``window`` words to either side.
+    """Parameters; shares and counts are relative, so that a page scores alike in a larger corpus.
+
+    The ``function_words`` most frequent words of at least ``function_pages`` of the training
+    pages are symbols, like the ``shapes`` most widespread shapes of at least ``shape_pages``. Other words fall
+    into bands by their share of pages; at most ``most_words`` reach the lowest band but one.
+    Training pages have a share of at most ``marks`` of links, tags, separators within
+    ``close`` and words that stand three times within ``span``, and are legible: a share of
+    ``legible`` of their characters stands in runs of three letters or digits. A context
+    seen in a share of ``pair`` (one symbol) or ``triple`` (two) of all places has half of the weight.
+    Surprisal is averaged over ``window`` symbols to either side. Pages are odd beyond ``high``
+    deviations above or ``low`` below the median.
     """
 
-    most_words: int = 1000
-    least_pages: float = 0.0015
-    function_words: int = 200
-    function_pages: float = 0.02
-    slot_bits: int = 21
-    span: int = 9
+    function_words: int = 160
+    function_pages: float = 0.01
+    shapes: int = 40
+    shape_pages: float = 0.005
+    bands: tuple[float, ...] = (0.05, 0.01, 0.0015)
+    most_words: int = 100_000
+    span: int = 12
     close: int = 4
-    window: int = 6
     marks: float = 0.05
-    garbage: float = 0.3
-    high: float = 9.0
-    low: float = 16.0
+    legible: float = 0.45
+    pair: float = 2e-3
+    triple: float = 2e-4
+    window: int = 6
+    high: float = 6.5
+    low: float = 7.0
+
+
+def word_hash(word: str) -> int:
+    """28 bits that are the same in every process."""
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & _MASK
+
+
+def shape_of(token: str) -> str:
+    """Letters as ``a``, digits as ``0``, marks as they are; repetitions once, six characters at most."""
+    return _AGAIN.sub(r"\1", _RUNS.sub(lambda m: "0" if m[0][0].isdecimal() else "a", token))[:6]
 
 
-class _Words(dict):
-    """Numbers of words as written, with what is known of each; starts anew when full."""
+class _Tokens(dict):
+    """Numbers of tokens as written, with what is known of each; starts anew when full."""
 
-    def __init__(self, lexicon: dict[str, int], functions: frozenset[str]):
+    def __init__(self) -> None:
         super().__init__()
-        self.lexicon, self.functions = lexicon, functions
         self.start()
 
     def start(self) -> None:
         self.clear()
-        self.symbol, self.stem, self.size, self.core = [START], [0], [0], [0]
-        self.cores: dict[str, int] = {"": 0}
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self.symbol)
-        core = word.strip(_EDGE).lower()
-        self.core.append(self.cores.setdefault(core, len(self.cores)))
-        if any(c.isdigit() for c in core) and sum(map(str.isalpha, core)) > sum(map(str.isdigit, core)):
-            core = core.translate(_LETTER_LIKE)
-        self.symbol.append(self._class(word, core))
-        # Repeats are of content words; a plural is the same word.
-        letters, digits = sum(map(str.isalpha, core)), sum(map(str.isdigit, core))
-        content = letters > 2 and letters > digits and core not in self.functions
-        self.stem.append(hash_of(core.rstrip("s")) if content else 0)
-        self.size.append(len(word) + 1)
+        self.code: list[int] = []
+        self.size: list[int] = []
+        self.stem: list[int] = []
+        self.kind: list[int] = []
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = len(self.code)
+        shape = "" if len(token) == 1 and not token.isalnum() else shape_of(token)
+        stem = 0
+        if not shape:
+            kind, told = MARK, MARKS.find(token) + 1
+        elif shape == "0":
+            kind, told = NUMBER, min(len(token), 4) - 1
+        elif shape in _WORD_SHAPES:
+            low = token.lower()
+            kind = CAPITALS if len(token) > 1 and token.isupper() else CAPITAL if token[0].isupper() else LOWER
+            kind, told = (OTHER_SCRIPT, 0) if token[0] > "ɏ" else (kind, word_hash(low))
+            # Repeats are of content words; a plural is the same word.
+            stem = word_hash(low.rstrip("s")) if len(token) > 3 and kind != CAPITALS else 0
+        else:
+            kind, told = SHAPE, word_hash(shape)
+        self.code.append(kind << _HASH_BITS | told)
+        self.size.append(len(token))
+        self.stem.append(stem)
+        letters = len(token) > 3 or token.lower() == "www"
+        self.kind.append(1 if token == "#" or letters and (_LINK(token) or _TAG(token)) else 2 if token in _SEPARATORS else 0)
         return number
 
-    def _class(self, word: str, core: str) -> int:
-        if len(word) <= 2 and word[0] in _SEPARATORS:
-            return SEPARATOR
-        letters, digits = sum(map(str.isalpha, word)), sum(map(str.isdigit, word))
-        if letters > 2 and _LINK.search(word):
-            return LINK
-        odd = sum(not c.isalnum() and c not in ".,;:!?'\"()-—–£$&*" for c in word)
-        if odd > 2 and odd * 3 > len(word) or letters + digits == 0 and len(word) > 2 and not word.strip(".-—–") == "":
-            return GARBAGE
-        if _TAG.search(word) and letters > 2:
-            return TAG
-        if odd > 1 or (letters + digits) * 2 < len(word) and len(word) > 3:
-            return GARBAGE
-        known = self.lexicon.get(core)
-        if known is not None:
-            return known
-        if digits > letters or digits and letters <= 2 or not letters:
-            return NUMBER
-        if core.isupper() or word.strip(_EDGE).isupper() and len(core) > 1:
-            return CAPITALS
-        return CAPITAL if word.strip(_EDGE)[:1].isupper() else LOWER
-
-
-def hash_of(text: str) -> int:
-    """A number of a word that is the same in every process."""
-    value = 1469598103934665603
-    for byte in text.encode("utf-8", "surrogatepass"):
-        value = (value ^ byte) * 1099511628211 & 0x3FFFFFFFFFFFFFFF
-    return value | 1
-
-
-class Pages(NamedTuple):
-    """The words of many pages one after another, two start symbols before each."""
-
-    number: np.ndarray
-    symbol: np.ndarray
-    size: np.ndarray
-    page: np.ndarray
-
-
-def read_pages(texts: list[str | None], words: _Words, settings: Settings) -> Pages:
-    if len(words) > 500_000:
-        words.start()
-    look, numbers, lengths = words.__getitem__, [], []
-    for text in texts:
-        numbers += (0, 0)
-        before = len(numbers)
-        if text:
-            numbers += map(look, (_BREAK.sub("", text) if "\n" in text else text).split())
-        lengths.append(len(numbers) - before + 2)
-    at = np.array(numbers, dtype=np.int64)
-    symbol, stem = np.array(words.symbol, dtype=np.int64)[at], np.array(words.stem, dtype=np.int64)[at]
-    page = np.repeat(np.arange(len(texts)), lengths)
-    stem = np.where(symbol == CAPITALS, 0, stem)
-    dense = np.zeros(len(at), dtype=bool)
-    separates = symbol == SEPARATOR
-    back, ahead = np.zeros(len(at), dtype=np.int16), np.zeros(len(at), dtype=np.int16)
-    last, next_ = np.full(len(at), 99, dtype=np.int16), np.full(len(at), 99, dtype=np.int16)
-    for d in range(min(settings.span, len(at) - 1), 0, -1):
+
+def _marked(stem: np.ndarray, kind: np.ndarray, page: np.ndarray, s: Settings) -> np.ndarray:
+    """Links, tags, separators of lists, and one of three equal content words."""
+    n = len(stem)
+    back, ahead = np.zeros(n, dtype=np.int16), np.zeros(n, dtype=np.int16)
+    last, next_ = np.full(n, 99, dtype=np.int16), np.full(n, 99, dtype=np.int16)
+    out, separates = kind == 1, kind == 2
+    for d in range(min(s.span, n - 1), 0, -1):
         here = page[d:] == page[:-d]
         alike = (stem[d:] == stem[:-d]) & (stem[d:] != 0) & here
         back[d:] += alike
         ahead[:-d] += alike
         last[d:][alike] = d
         next_[:-d][alike] = d
-        if d <= settings.close:
+        if d <= s.close:
             both = separates[d:] & separates[:-d] & here
-            dense[d:] |= both
-            dense[:-d] |= both
-    # One of three equal content words that lie within the span.
-    thrice = (back >= 2) | (ahead >= 2) | (last + next_ <= settings.span)
-    repeated = thrice & ~np.isin(symbol, (LINK, TAG, GARBAGE)) | dense
-    return Pages(at, np.where(repeated, REPEAT, symbol), np.array(words.size, dtype=np.int64)[at], page)
-
-
-def page_marks(pages: Pages, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per page: words, the share of links, tags and repeats, and of garbage."""
-    count = np.bincount(pages.page[pages.symbol != START], minlength=n)
-    share = lambda *kinds: np.bincount(pages.page[np.isin(pages.symbol, kinds)], minlength=n) / np.maximum(count, 1)
-    return count, share(*MARKS), share(GARBAGE)
-
-
-def is_prose(marks: np.ndarray, garbage: np.ndarray, s: Settings) -> np.ndarray:
-    """Pages to train on: next to no marks, or illegible."""
-    return (marks <= s.marks) | (garbage >= s.garbage)
-
-
-def _slots(symbol: np.ndarray, n_symbols: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word the places of its pair and (hashed) triple, the pair before it, and whether it touches a mark."""
-    before = np.concatenate(([START], symbol[:-1]))
-    first = np.concatenate(([START], before[:-1]))
-    pair, context = before * n_symbols + symbol, first * n_symbols + before
-    value = (context * n_symbols + symbol).astype(np.uint64)
-    value = (value ^ (value >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    triple = (value >> np.uint64(64 - bits)).astype(np.int64)
-    mark = np.isin(symbol, MARKS)
-    near = mark | np.append(False, mark[:-1]) | np.append([False, False], mark[:-2])[: len(mark)]
-    return pair, triple, context, near
-
-
-class Model:
-    """Interpolated one-, two- and three-word model.
-
-    Pairs have a place each; triples share ``2**bits`` slots. Marks are no part of prose: nothing
-    that touches one was counted, and none takes part in another's slot.
-    """
-
-    def __init__(self, n_symbols: int, bits: int, counts: np.ndarray):
-        self.n_symbols, self.bits = n_symbols, bits
-        self.one, self.two, self.three = np.split(counts.astype(np.float32), [n_symbols, n_symbols + n_symbols**2])
-        self.total = float(self.one.sum())
-
-    def surprisal(self, symbol: np.ndarray) -> np.ndarray:
-        """Bits of each word after the two before it."""
-        pair, triple, context, near = _slots(symbol, self.n_symbols, self.bits)
-        before = np.concatenate(([START], symbol[:-1]))
-        p1 = (self.one[symbol] + 0.5) / (self.total + 0.5 * len(self.one))
-        c2 = np.where(near, 0.0, self.one[before])
-        l2 = c2 / (c2 + 5.0)
-        p2 = np.minimum(self.two[pair] / np.maximum(c2, 1.0), 1.0)
-        c3 = np.where(near, 0.0, self.two[context])
-        l3 = c3 / (c3 + 5.0) * 0.8
-        p3 = np.minimum(self.three[triple] / np.maximum(c3, 1.0), 1.0)
-        return -np.log2(l3 * p3 + (1 - l3) * (l2 * 0.9 * p2 + (1 - 0.9 * l2) * p1))
-
-
-def _page_medians(model: Model, pages: Pages, n: int, s: Settings) -> np.ndarray:
-    """Per page the median over characters of the mean surprisal of the words around; NaN without words."""
-    bits = np.where(pages.symbol == START, 0.0, model.surprisal(pages.symbol))
-    told = (pages.symbol != START).astype(float)
-    half = s.window
-    run = lambda v: np.concatenate(([0.0], np.cumsum(v)))
-    starts = np.searchsorted(pages.page, np.arange(n), "left")
-    ends = np.searchsorted(pages.page, np.arange(n), "right")
-    here = np.arange(len(bits))
-    low = np.maximum(here - half, starts[pages.page])
-    high = np.minimum(here + half + 1, ends[pages.page])
-    total, count = run(bits), run(told)
-    mean = (total[high] - total[low]) / np.maximum(count[high] - count[low], 1.0)
-    keep = told > 0
-    mean, page, size = mean[keep], pages.page[keep], pages.size[keep].astype(float)
-    order = np.lexsort((mean, page))
-    mean, page, size = mean[order], page[order], size[order]
-    upto = np.cumsum(size)
-    first = np.searchsorted(page, np.arange(n), "left")
-    last = np.searchsorted(page, np.arange(n), "right")
-    base = np.concatenate(([0.0], upto))[first]
-    whole = np.concatenate(([0.0], upto))[last] - base
-    middle = np.searchsorted(upto, base + whole / 2, "left")
-    out = np.full(n, np.nan)
-    full = last > first
-    out[full] = mean[np.minimum(middle[full], len(mean) - 1)]
-    return out
+            out[d:] |= both
+            out[:-d] |= both
+    return out | (back >= 2) | (ahead >= 2) | (last + next_ <= s.span)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
@@ -251,130 +151,259 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1_000_000
             yield batch.slice(a, b - a)
 
 
-def _count_pages(s: Settings):
-    """Per task: in how many prose pages each word occurs."""
+def _encode(s: Settings):
+    """Per page its codes (4 bytes a token) and sizes (1 byte), and whether it is legible and to be trained on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, found, n_clean = _Words({}, frozenset()), Counter(), 0
-        # Without function words their repeats can't be told from others', so none are sought.
-        plain = s._replace(span=0)
-        for batch in slices(batches, 0):
-            texts = batch.column(0).to_pylist()
-            pages = read_pages(texts, words, plain)
-            n = np.maximum(np.bincount(pages.page[pages.symbol != START], minlength=len(texts)), 1)
-            clean = np.bincount(pages.page[np.isin(pages.symbol, (LINK, TAG))], minlength=len(texts)) <= s.marks * n
-            core = np.array(words.core, dtype=np.int64)[pages.number]
-            use = clean[pages.page] & (core > 0)
-            pairs = np.unique(pages.page[use] * len(words.cores) + core[use])
-            times = np.bincount(pairs % len(words.cores), minlength=len(words.cores))
-            names = list(words.cores)
-            for i in np.flatnonzero(times):
-                found[names[i]] += int(times[i])
-            n_clean += int(clean.sum())
-            if len(found) > 300_000:
-                yield _told(found, 0)
-                found = Counter()
-        yield _told(found, n_clean)
+        tokens = _Tokens()
+        look = tokens.__getitem__
+        for batch in slices(batches, 1):
+            if len(tokens) > 500_000:
+                tokens.start()
+            numbers: list[int] = []
+            lengths, legible = [], []
+            for text in batch.column(1).to_pylist():
+                before, share = len(numbers), 1.0
+                if text:
+                    plain = " ".join((_BREAK.sub("", text) if "\n" in text else text).split())
+                    numbers += map(look, _TOKENS(plain))
+                    share = sum(map(len, _READABLE(plain))) / max(len(plain) - plain.count(" "), 1)
+                lengths.append(len(numbers) - before)
+                legible.append(share)
+            at, page = np.array(numbers, dtype=np.int64), np.repeat(np.arange(len(lengths)), lengths)
+            marked = _marked(*(np.array(v, dtype=np.int64)[at] for v in (tokens.stem, tokens.kind)), page, s)
+            count = np.array(lengths)
+            share = np.bincount(page[marked], minlength=len(count)) / np.maximum(count, 1)
+            legible = np.array(legible) >= s.legible
+            ends = np.concatenate(([0], np.cumsum(count)))
+            codes, sizes = np.array(tokens.code, dtype="<u4")[at], np.array(tokens.size, dtype=np.uint8)[at]
+            binary = lambda v, width: pa.Array.from_buffers(
+                pa.large_binary(), len(count), [None, pa.py_buffer(ends * width), pa.py_buffer(v.tobytes())]
+            ).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), binary(codes, 4), binary(sizes, 1), pa.array(legible), pa.array(legible & (share <= s.marks) & (count > 0))],
+                names=["k", "codes", "sizes", "legible", "prose"],
+            )
 
     return run
 
 
-def _told(found: Counter, n_pages: int) -> pa.RecordBatch:
-    """Words and counts; the empty word has the number of pages."""
-    keys = [k for k in found if k and len(k) <= 40]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([*keys, ""], pa.string()), pa.array([*(found[k] for k in keys), n_pages], pa.int64())], names=["word", "n"]
-    )
+def _arrays(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column one after another, and each one's number."""
+    parts = column.to_pylist()
+    values = np.frombuffer(b"".join(parts), dtype=dtype)
+    width = np.dtype(dtype).itemsize
+    return values, np.array([len(p) // width for p in parts], dtype=np.int64)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many pages, and how often, each word and each shape occurs; key -1 counts pages."""
+    for batch in slices(batches, 0, 4_000_000):
+        codes, lengths = _arrays(batch.column(0), "<u4")
+        kind, page = codes >> _HASH_BITS, np.repeat(np.arange(len(lengths)), lengths)
+        use = (kind <= CAPITALS) | (kind == SHAPE)
+        key = np.where(kind[use] == SHAPE, 1 << _HASH_BITS, 0) + (codes[use] & _MASK).astype(np.int64)
+        once, times = np.unique(page[use] << 30 | key, return_counts=True)
+        word, at = np.unique(once & (1 << 30) - 1, return_inverse=True)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.append(word, -1), pa.int64()), pa.array(np.append(np.bincount(at, minlength=len(word)), len(lengths)), pa.int64()),
+                pa.array(np.append(np.bincount(at, times, len(word)), 0).astype(np.int64)),
+            ],
+            names=["word", "pages", "n"],
+        )
+
+
+class Lexicon:
+    """Symbols of codes: 0 begins a page; function words, shapes, marks, numbers and classes of words follow."""
+
+    def __init__(self, words: np.ndarray, pages: np.ndarray, n: np.ndarray, total: int, s: Settings):
+        order = np.lexsort((words, -n))
+        shape = words >> _HASH_BITS == 1
+        functions = [i for i in order if not shape[i] and pages[i] >= s.function_pages * total][: s.function_words]
+        widespread = np.lexsort((words, -pages))
+        shapes = [i for i in widespread if shape[i] and pages[i] >= s.shape_pages * total][: s.shapes]
+        self.n_functions = len(functions)
+        self.shape_hash = np.sort(words[shapes] & _MASK)
+        plain = np.flatnonzero(~shape)
+        plain = plain[np.argsort(words[plain])]
+        self.word_hash = words[plain]
+        self.band = (pages[plain, None] < np.array(s.bands) * total).sum(axis=1)
+        place = np.zeros(len(words), dtype=np.int64)
+        place[functions] = np.arange(1, len(functions) + 1)
+        self.function = place[plain]
+        self.bands = len(s.bands) + 1
+        self.shapes_from = 1 + self.n_functions
+        self.marks_from = self.shapes_from + len(self.shape_hash) + 2
+        self.numbers_from = self.marks_from + len(MARKS) + 1
+        self.words_from = self.numbers_from + 5
+        self.size = self.words_from + 3 * self.bands
+
+    @staticmethod
+    def _find(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(known):
+            return np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        return at, known[at] == values
+
+    def symbols(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        kind, told = codes >> _HASH_BITS, (codes & _MASK).astype(np.int64)
+        out = np.full(len(codes), self.numbers_from + 4, dtype=np.int64)
+        out[kind == NUMBER] = self.numbers_from + told[kind == NUMBER]
+        out[kind == MARK] = self.marks_from + told[kind == MARK]
+        of = np.flatnonzero(kind == SHAPE)
+        at, known = self._find(self.shape_hash, told[of])
+        # Shapes that few pages have are short or long.
+        out[of] = np.where(known, self.shapes_from + 2 + at, self.shapes_from + (sizes[of] >= 8))
+        of = np.flatnonzero(kind <= CAPITALS)
+        at, known = self._find(self.word_hash, told[of])
+        band, function = np.full(len(of), self.bands - 1), np.zeros(len(of), dtype=np.int64)
+        if len(self.word_hash):
+            band, function = np.where(known, self.band[at], band), np.where(known, self.function[at], 0)
+        classes = self.words_from + band * 3 + kind[of].astype(np.int64) - LOWER
+        out[of] = np.where((function > 0) & (kind[of] != CAPITALS), function, classes)
+        return out
+
+
+def _sequence(batch: pa.RecordBatch, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, their sizes and their pages; each page begins with two zeros."""
+    codes, lengths = _arrays(batch.column("codes"), "<u4")
+    sizes, _ = _arrays(batch.column("sizes"), "u1")
+    page = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(codes)) + 2 * (page + 1)
+    symbol, size = np.zeros((2, len(codes) + 2 * len(lengths)), dtype=np.int64)
+    symbol[at], size[at] = lexicon.symbols(codes, sizes), sizes
+    return symbol, size, np.repeat(np.arange(len(lengths)), lengths + 2)
+
+
+def _contexts(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    one = np.concatenate(([0], symbol[:-1]))
+    return one, np.concatenate(([0], one[:-1]))
+
+
+def _count_triples(lexicon: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for batch in slices(batches, 0, 4_000_000):
+            symbol, _, _ = _sequence(batch, lexicon)
+            one, two = _contexts(symbol)
+            new, n = np.unique(((two * lexicon.size + one) * lexicon.size + symbol)[symbol > 0], return_counts=True)
+            keys, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
+            counts = np.bincount(at, np.concatenate((counts, n)), len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["triple", "n"])
 
+    return run
 
-def _table_size(n_symbols: int, s: Settings) -> int:
-    return n_symbols + n_symbols**2 + (1 << s.slot_bits)
 
+class Model:
+    """Interpolated one-, two- and three-symbol model; all counts are exact.
 
-def _train(lexicon: dict[str, int], functions: frozenset[str], s: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n_symbols = _Words(lexicon, functions), N_CLASSES + len(lexicon)
-        found = np.zeros(_table_size(n_symbols, s), dtype=np.int64)
-        for batch in slices(batches, 0):
-            texts = batch.column(0).to_pylist()
-            pages = read_pages(texts, words, s)
-            _, *shares = page_marks(pages, len(texts))
-            pair, triple, _, near = _slots(pages.symbol, n_symbols, s.slot_bits)
-            # Stray marks on prose pages are no prose.
-            use = is_prose(*shares, s)[pages.page] & ~near
-            for places, start in ((pages.symbol, 0), (pair, n_symbols), (triple, n_symbols + n_symbols**2)):
-                place, n = np.unique(places[use], return_counts=True)
-                found[place + start] += n
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["slot", "n"])
+    A context's own counts weigh ``share / (share + pair)`` (or ``triple``), its share being
+    that of all places. What is rarer than that in print is judged by the shorter
+    context, however large the corpus. No symbol costs more than ``log2(size / 0.05)`` bits
+    and what the discounts of the longer contexts add.
+    """
 
-    return run
+    def __init__(self, size: int, triples: np.ndarray, counts: np.ndarray, pair: float, triple: float):
+        order = np.argsort(triples)
+        self.size, self.triples, n = size, triples[order], counts[order].astype(np.float64)
+        total = max(n.sum(), 1.0)
+        two = np.bincount(self.triples % size**2, n, size**2)
+        one, before = np.bincount(self.triples % size, n, size), two.reshape(size, size).sum(axis=1)
+        seen = np.bincount(self.triples // size, n, size**2)
+        trust = 0.9 * (before / (before + pair * total))[:, None]
+        base = 0.95 * one / total + 0.05 / size
+        self.shorter = (trust * two.reshape(size, size) / np.maximum(before, 1.0)[:, None] + (1 - trust) * base).ravel()
+        self.trust = 0.8 * seen / (seen + triple * total)
+        self.own = (self.trust[self.triples // size] * n / np.maximum(seen[self.triples // size], 1.0)).astype(np.float32)
+
+    def surprisal(self, symbol: np.ndarray) -> np.ndarray:
+        """Bits of each symbol after the two before it; 0 where a page begins."""
+        one, two = _contexts(symbol)
+        context = two * self.size + one
+        at, known = Lexicon._find(self.triples, context * self.size + symbol)
+        own = np.where(known, self.own[at], 0.0) if len(self.own) else 0.0
+        bits = -np.log2(own + (1 - self.trust[context]) * self.shorter[one * self.size + symbol])
+        return np.where(symbol > 0, bits, 0.0)
+
+
+def page_medians(bits: np.ndarray, symbol: np.ndarray, size: np.ndarray, page: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Per page the median over characters of the mean surprisal of the symbols around; NaN without symbols."""
+    told = symbol > 0
+    run = lambda v: np.concatenate(([0.0], np.cumsum(v)))
+    starts, ends = (np.searchsorted(page, np.arange(n), side) for side in ("left", "right"))
+    here = np.arange(len(bits))
+    low, high = np.maximum(here - window, starts[page]), np.minimum(here + window + 1, ends[page])
+    total, count = run(bits), run(told)
+    mean = ((total[high] - total[low]) / np.maximum(count[high] - count[low], 1.0))[told]
+    page, size = page[told], size[told].astype(float)
+    order = np.lexsort((mean, page))
+    mean, upto = mean[order], np.cumsum(size[order])
+    first, last = (np.searchsorted(page, np.arange(n), side) for side in ("left", "right"))
+    base, whole = np.concatenate(([0.0], upto))[first], np.concatenate(([0.0], upto))[last]
+    middle = np.searchsorted(upto, (base + whole) / 2, "left")
+    out, full = np.full(n, np.nan), last > first
+    out[full] = mean[np.minimum(middle[full], last[full] - 1)]
+    return out
 
 
 def _score(shared, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, functions, model = shared.value
-        words = _Words(lexicon, functions)
-        for batch in slices(batches, 1):
-            texts = batch.column(1).to_pylist()
-            pages = read_pages(texts, words, s)
-            n_words, *shares = page_marks(pages, len(texts))
+        lexicon, model = shared.value
+        for batch in slices(batches, 1, 4_000_000):
+            symbol, size, page = _sequence(batch, lexicon)
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(n_words, pa.int64()), pa.array(_page_medians(model, pages, len(texts), s), pa.float64()),
-                    pa.array(is_prose(*shares, s)), pa.array(shares[1], pa.float64()),
+                    batch.column("k"), pa.array(np.bincount(page[symbol > 0], minlength=n), pa.int64()),
+                    pa.array(page_medians(model.surprisal(symbol), symbol, size, page, n, s.window), pa.float64()),
+                    batch.column("prose"), batch.column("legible"),
                 ],
-                names=["k", "n_words", "bits", "prose", "garbage"],
+                names=["k", "n_tokens", "bits", "prose", "legible"],
             )
 
     return run
 
 
 def score_pages(df: DataFrame, key: str, text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """``key, n_words, bits, prose, garbage, odd``: each page with its median surprisal and verdict.
+    """``key, n_tokens, bits, prose, legible, odd``: each page with its median surprisal and verdict.
 
-    Three passes over all texts: the widespread words of pages without links and tags (at
-    most ``most_words`` reach the driver), the n-gram counts of prose pages (tables of
-    ``most_words**2`` pairs and ``2**slot_bits`` slots of triples), and the scores. ``odd`` pages lie more than ``high`` deviations
-    above or ``low`` below the median of the prose pages and are no garbage. A deviation is
-    1.4826 times the median absolute one.
+    Texts are read once: codes of 4 bytes and sizes of 1 byte a token are written to the
+    checkpoint folder. Over them run the counts of words and shapes, of triples of symbols, and the scores.
+    The driver gets at most ``most_words`` words and the triples that occur, of some 270 symbols (at
+    most their cube, however much text). ``odd`` pages lie more than ``high`` deviations above
+    or ``low`` below the median of the training pages (``prose``) and are legible. A deviation is 1.4826 times
+    the median absolute one.
 
-    Null, empty and blank pages have no words, null bits and are not odd; repeated keys are
-    judged each; an empty table gives no rows. Whole texts are read, and nothing but counts
-    is shuffled.
+    Null, empty and blank pages have no tokens, null bits and are not odd; repeated keys are
+    judged each; an empty table gives no rows. Whole texts are read.
     """
     s = settings
+    kind = df.schema[key].dataType.simpleString()
     pages = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    told = pages.where("t is not null").select("t")
-    counted = told.mapInArrow(_count_pages(s), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counted.where("word = ''").agg(F.sum("n")).first()[0] or 0
-    least = max(3.0, s.least_pages * total)
-    common = (
-        counted.where((F.col("word") != "") & (F.col("n") >= least))
-        .orderBy(F.col("n").desc(), "word").limit(s.most_words).toPandas()
-    )
-    lexicon = {w: N_CLASSES + i for i, w in enumerate(common["word"])}
-    spread = common["word"][common["n"] >= s.function_pages * total]
-    functions = frozenset(spread[: s.function_words])
-    parts = told.mapInArrow(_train(lexicon, functions, s), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(_table_size(N_CLASSES + len(lexicon), s), dtype=np.float32)
-    counts[parts.column("slot").to_numpy()] = parts.column("n").to_numpy()
-    model = Model(N_CLASSES + len(lexicon), s.slot_bits, counts)
-    shared = df.sparkSession.sparkContext.broadcast((lexicon, functions, model))
-    kind = pages.schema["k"].dataType.simpleString()
+    coded = cut_lineage(pages.mapInArrow(_encode(s), f"k {kind}, codes binary, sizes binary, legible boolean, prose boolean"))
+    training = coded.where("prose").select("codes", "sizes")
+    words = training.select("codes").mapInArrow(_count_words, "word long, pages long, n long").groupBy("word").agg(
+        F.sum("pages").alias("pages"), F.sum("n").alias("n")
+    )
+    # A page has few different words: at most (words a page) / x of them are on a share x of the pages.
+    common = words.orderBy(F.col("word") != -1, F.col("pages").desc(), "word").limit(s.most_words + 1).toArrow()
+    word, n_pages, n = (common.column(c).to_numpy() for c in ("word", "pages", "n"))
+    total = int(n_pages[word == -1].sum())
+    use = (word >= 0) & (n_pages >= max(min(s.bands) * total, 2.0))
+    lexicon = Lexicon(word[use], n_pages[use], n[use], total, s)
+    triples = training.mapInArrow(_count_triples(lexicon), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()
+    model = Model(lexicon.size, triples.column("triple").to_numpy(), triples.column("n").to_numpy(), s.pair, s.triple)
+    shared = df.sparkSession.sparkContext.broadcast((lexicon, model))
     scored = cut_lineage(
-        pages.mapInArrow(_score(shared, s), f"k {kind}, n_words long, bits double, prose boolean, garbage double")
+        coded.mapInArrow(_score(shared, s), f"k {kind}, n_tokens long, bits double, prose boolean, legible boolean")
         .withColumn("bits", F.nanvl("bits", F.lit(None).cast("double")))
     )
-    middle = scored.where("prose and bits is not null").agg(F.percentile_approx("bits", 0.5, 10000)).first()[0]
-    away = (
-        scored.where("prose and bits is not null").agg(F.percentile_approx(F.abs(F.col("bits") - F.lit(middle)), 0.5, 10000)).first()[0]
-        if middle is not None
-        else None
-    )
-    if middle is None:
-        odd = F.lit(False)
-    else:
+    known = scored.where("prose and bits is not null")
+    middle = known.agg(F.percentile_approx("bits", 0.5, 10000)).first()[0]
+    odd = F.lit(False)
+    if middle is not None:
+        away = known.agg(F.percentile_approx(F.abs(F.col("bits") - F.lit(middle)), 0.5, 10000)).first()[0]
         spread = max(1.4826 * away, 1e-6)
         odd = (F.col("bits") > middle + s.high * spread) | (F.col("bits") < middle - s.low * spread)
-    return scored.withColumn("odd", F.coalesce(odd & (F.col("garbage") < s.garbage), F.lit(False))).withColumnRenamed("k", key)
+    return scored.withColumn("odd", F.coalesce(odd & F.col("legible"), F.lit(False))).withColumnRenamed("k", key)

@@ -3,6 +3,8 @@
 import os
 import random
 
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -163,6 +165,49 @@ def test_pages(spark):
     assert blank == {801: None, 802: None, 803: None}
 
 
+def test_pages_too_easy_to_guess(spark):
+    """What is printed over and over is guessed at once: perplexity is abnormally low."""
+    draw = random.Random(8)
+    rows = [(i, "\n".join(sentence(draw) for _ in range(12))) for i in range(300)]
+    rows += [(1000 + i, "and so it was and so it is " * 60) for i in range(25)]
+    found = prose.score_pages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").where("odd").collect()
+    assert sorted(r.doc_id for r in found) == list(range(1000, 1025))
+    assert all(r.bits < 1 for r in found)
+
+
+def test_model_decides(spark):
+    """Pages whose tokens are all of ordinary words, without any link, tag, repeat or separator, are told by their sequences."""
+    draw = random.Random(9)
+    names = [f"{a}{b}" for a in ("boot", "lamp", "sofa", "tyre", "wig", "loan", "pond", "dog", "tea") for b in ("house", "shop", "seller", "light", "wood", "land")]
+    rows = [(i, "\n".join(sentence(draw) for _ in range(12))) for i in range(300)]
+    rows += [(1000 + i, " ".join(draw.sample(names, len(names)))) for i in range(4)]
+    scored = prose.score_pages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", settings=prose.Settings(marks=0.9))
+    assert sorted(r.doc_id for r in scored.where("odd").collect()) == [1000, 1001, 1002, 1003]
+
+
+def test_same_page_same_score_in_larger_corpus():
+    """The model's estimates follow shares, not counts."""
+    draw = np.random.default_rng(3)
+    triples, counts = np.unique(draw.integers(0, 8**3, 400), return_counts=True)
+    small, large = (prose.Model(8, triples, counts * k, 2e-3, 2e-4) for k in (1, 1000))
+    symbol = draw.integers(1, 8, 500)
+    assert np.allclose(small.surprisal(symbol), large.surprisal(symbol), atol=1e-4)
+
+
+def test_symbols_follow_a_slow_reading():
+    s = prose.Settings(function_words=2, shapes=1)
+    tokens = prose._Tokens()
+    numbers = [tokens[t] for t in prose._TOKENS("The well, the a-b well x.y.z 1850 # Well")]
+    codes, sizes = np.array(tokens.code, dtype="<u4")[numbers], np.array(tokens.size, dtype=np.uint8)[numbers]
+    kind = codes >> 28
+    assert kind.tolist() == [prose.CAPITAL, prose.LOWER, prose.MARK, prose.LOWER, prose.SHAPE, prose.LOWER, prose.SHAPE, prose.NUMBER, prose.MARK, prose.CAPITAL]
+    words = np.array([prose.word_hash("the"), prose.word_hash("well"), 1 << 28 | prose.word_hash("a-a")])
+    lexicon = prose.Lexicon(words, np.array([10, 4, 5]), np.array([30, 5, 5]), 10, s)
+    got = lexicon.symbols(codes, sizes)
+    assert got[0] == got[3] == 1 and got[1] == got[5] == got[9] == 2
+    assert len(set(got.tolist())) == 7 and got.max() < lexicon.size
+
+
 def test_pages_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert prose.score_pages(empty, "doc_id").count() == 0
