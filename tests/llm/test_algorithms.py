@@ -42,7 +42,35 @@ def test_sketches_are_linear():
     whole.add(h)
     a.add(h[:2000])
     b.add(h[2000:])
-    assert (whole.counts == a.counts + b.counts).all() and whole.total == a.total + b.total
+    assert (whole.flat() == a.flat() + b.flat()).all() and whole.total == a.total + b.total
+
+
+@pytest.mark.parametrize("one_in", [200, 2000, 20_000])
+def test_recall_when_all_heavy_values_are_just_heavy(one_in):
+    """As many values as can be heavy, each just above the share: all are found, with a bounded number of candidates."""
+    draw = np.random.default_rng(one_in)
+    share, n = 1 / one_in, 2_000_000
+    k = int(one_in * 0.9)
+    hot, rest = (draw.integers(0, 2**63, m, dtype=np.uint64) * np.uint64(2) for m in (k, n // 20))
+    sketch = heavy.PrefixSketch(heavy.width_bits_for(share))
+    sketch.add(hot, np.full(k, int(n * share) + 1))
+    sketch.add(rest)
+    most = int(4 / (share * 0.5)) + 16
+    prefixes, _ = sketch.heavy(sketch.total * share * 0.5, most)
+    known = set((hot >> np.uint64(24)).tolist())
+    assert known <= set(prefixes.tolist()) and len(prefixes) <= 1.1 * k
+
+
+def test_a_sketch_too_narrow_counts_every_value(spark):
+    data = [f"v{i % 900}" for i in range(9000)] + [f"rare{i}" for i in range(1000)]
+    df = spark.createDataFrame([(v,) for v in data], "s string")
+    with pytest.raises(heavy.TooManyPrefixes):
+        sketch = heavy.PrefixSketch(4, 1)
+        sketch.add(np.random.default_rng(2).integers(0, 2**63, 10_000, dtype=np.uint64) * np.uint64(2))
+        sketch.heavy(1, 20)
+    for options in ({"width_bits": 4, "depth": 1}, {"most_counters": 10}, {}):
+        got = {r.value: r.n_rows for r in heavy.frequent_values(df, F.col("s"), 1 / 1500, **options).collect()}
+        assert got == {f"v{i}": 10 for i in range(900)}
 
 
 def exact(values, pct):
