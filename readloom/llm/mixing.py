@@ -104,9 +104,29 @@ def _rounding_cuts(drawn: DataFrame, goals: dict[str, float]) -> DataFrame:
     )
 
 
+def mix_total(total: float, targets: dict[str, tuple[float, int]], held: dict[str, float], absent: float) -> float:
+    """The size of the mix in which sources that can reach their share have it.
+
+    Short sources (share of ``total`` above cap times tokens) give U tokens at most; the others, with
+    shares that add up to R, have theirs in a mix of M = U / (1 - R) tokens, for M = R * M + U. Short sources that
+    can't give ``absent`` of their goal are left out of this, or one nearly empty source would empty
+    the mix; shares are then those among the rest.
+    """
+    given = rest = 0.0
+    short = False
+    for source, (share, cap) in targets.items():
+        goal, most = share * total, cap * held.get(source, 0.0)
+        if goal > most:
+            if most >= absent * goal:
+                short, given, rest = True, given + most, rest + share
+    return min(total, given / rest) if short else total
+
+
 def balance(
     sizes: DataFrame,
     targets: dict[str, tuple[float, int]],
+    keep: str = "shares",
+    absent: float = 0.1,
     tolerance: float = 1e-6,
     max_steps: int = 60,
     seed: int = 7,
@@ -116,9 +136,12 @@ def balance(
     ``sizes`` has ``doc_id``, ``source`` (any spelling) and ``n_tokens``; the total T is the tokens
     of all documents whose source has a target. The first result is ``doc_id, source, n_tokens,
     rate, copies`` of all these documents, the second one row per target with ``source,
-    target_share, max_repeats, n_docs, n_tokens, goal_tokens, reachable, tilt, steps,
-    expected_tokens, mixed_tokens, actual_share``. A source whose goal is above its cap times
+    target_share, max_repeats, n_docs, n_tokens, goal_tokens, reachable, mix_goal, tilt, steps,
+    expected_tokens, mixed_tokens, actual_share``. A source whose goal (share times T) is above its cap times
     its tokens, where the dual has no solution, is not reachable and gives all copies it may.
+    The mix is then smaller than T: with ``keep="shares"`` the others get their share of the mix as
+    it is (``mix_goal``, see ``mix_total``), with ``keep="size"`` their share of T, which is more than
+    their share of the mix. Where all sources are reachable both are the same.
 
     Only sums by source reach the driver. Newton steps run on documents counted by source and
     size; a source with most documents is combined before every shuffle. A rate is rounded up
@@ -139,11 +162,15 @@ def balance(
         for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("s")).collect()
     }
     total = sum(s for _, s in sums.values())
+    if keep not in ("shares", "size"):
+        raise ValueError("keep must be shares or size")
+    mixed = mix_total(total, targets, {k: s for k, (_, s) in sums.items()}, absent) if keep == "shares" else total
     duals: dict[str, _Dual] = {}
     for source, (share, cap) in targets.items():
         n, held = sums.get(source, (0, 0))
-        if held and 0 < share * total < cap * held:
-            duals[source] = _Dual(share * total, held / n)
+        # Who can't reach the share of all tokens gives all there is, also where the mix is small.
+        if held and 0 < share * total <= cap * held and share * mixed < cap * held:
+            duals[source] = _Dual(share * mixed, held / n)
 
     def tilted(frame: DataFrame) -> DataFrame:
         state = spark.createDataFrame(
@@ -183,11 +210,11 @@ def balance(
     )
     told = spark.createDataFrame(
         [
-            (s, t, r, sums.get(s, (0, 0))[0], sums.get(s, (0, 0))[1], t * total, t * total <= r * sums.get(s, (0, 0))[1],
+            (s, t, r, sums.get(s, (0, 0))[0], sums.get(s, (0, 0))[1], t * total, t * total <= r * sums.get(s, (0, 0))[1], t * mixed,
              duals[s].tilt if s in duals else None, duals[s].steps if s in duals else 0)
             for s, (t, r) in targets.items()
         ],
-        "source string, target_share double, max_repeats int, n_docs long, n_tokens long, goal_tokens double, reachable boolean, tilt double, steps int",
+        "source string, target_share double, max_repeats int, n_docs long, n_tokens long, goal_tokens double, reachable boolean, mix_goal double, tilt double, steps int",
     )
     report = told.join(reached, "source", "left").na.fill(0, ["expected_tokens", "mixed_tokens"])
     everything = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))
