@@ -35,7 +35,8 @@ _TOKENS = re.compile(r"[^\W_](?:\S{0,198}[^\W_])?|\S").findall
 _RUNS = re.compile(r"[^\W\d_]+|\d+")
 _AGAIN = re.compile(r"(..?)\1+")
 _WORD_SHAPES = frozenset(("a", "a'a", "a’a"))
-_READABLE = re.compile(r"[^\W_]{3,}").findall
+# Runs of 3 to 30 letters and digits; longer ones are no words.
+_READABLE = re.compile(r"(?<![^\W_])[^\W_]{3,30}(?![^\W_])").findall
 # Which tokens keep a page out of training.
 _LINK = re.compile(r"://|^www\b|\bwww\.|href=|\]\(|[a-z0-9]{2}\.[a-z]{4,}(?:[/)\]>?]|$)", re.I).search
 _TAG = re.compile(r"^\w{2,}[:=_]\w").search
@@ -50,7 +51,7 @@ class Settings(NamedTuple):
     into bands by their share of pages; at most ``most_words`` reach the lowest band but one.
     Training pages have a share of at most ``marks`` of links, tags, separators within
     ``close`` and words that stand three times within ``span``, and are legible: a share of
-    ``legible`` of their characters stands in runs of three letters or digits. A context
+    ``legible`` of their characters stands in runs of 3 to 30 letters or digits. A context
     seen in a share of ``pair`` (one symbol) or ``triple`` (two) of all places has half of the weight.
     Surprisal is averaged over ``window`` symbols to either side. Pages are odd beyond ``high``
     deviations above or ``low`` below the median.
@@ -67,10 +68,10 @@ class Settings(NamedTuple):
     marks: float = 0.05
     legible: float = 0.45
     pair: float = 2e-3
-    triple: float = 2e-4
-    window: int = 6
-    high: float = 6.5
-    low: float = 7.0
+    triple: float = 4e-4
+    window: int = 10
+    high: float = 5.5
+    low: float = 5.5
 
 
 def word_hash(word: str) -> int:

@@ -3,7 +3,6 @@
 import os
 import random
 
-
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -117,6 +116,22 @@ def test_mix_meets_targets(spark):
     assert all(r.copies == 0 for r in rows if not r.n_tokens)
 
 
+def test_short_source_leaves_shares_of_others(spark):
+    draw = random.Random(12)
+    docs = [(f"{name}{i}", name, draw.choice([5, 40, 100, 300])) for name, k in (("a", 3000), ("b", 2000), ("short", 150)) for i in range(k)]
+    df = spark.createDataFrame(docs, "doc_id string, source string, n_tokens long")
+    targets = {"a": (0.5, 2), "b": (0.4, 2), "short": (0.1, 2)}
+    got = {r.source: r for r in mixing.balance(df, targets)[1].collect()}
+    assert [got[k].reachable for k in ("a", "b", "short")] == [True, True, False]
+    for name in targets:
+        assert got[name].actual_share == pytest.approx(targets[name][0], rel=0.02)
+        assert got[name].mixed_tokens == pytest.approx(got[name].mix_goal, rel=0.02)
+    sized = {r.source: r for r in mixing.balance(df, targets, keep="size")[1].collect()}
+    assert sized["a"].mixed_tokens == pytest.approx(sized["a"].goal_tokens, rel=0.02) and sized["a"].actual_share > 0.51
+    with pytest.raises(ValueError):
+        mixing.balance(df, targets, keep="both")
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     copies, report = mixing.balance(empty, {"a": (1.0, 2)})
