@@ -75,8 +75,7 @@ def _paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_types(spark: SparkSession, folder: str) -> DataFrame:
-    paths = _paths(spark, folder).withColumn("path", F.concat_ws("/", "column_name", "field_id"))
-    return drift.path_type_statistics(paths)
+    return drift.path_type_statistics(drift.path_statistics(drift.declaration_paths(table(spark, folder, "vcf_headers")), _paths(spark, folder)))
 
 
 def p2_table(spark: SparkSession, folder: str) -> DataFrame:

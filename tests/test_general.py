@@ -124,8 +124,11 @@ def test_typed_projection_reports_failed_casts(spark):
     out = drift.project_typed(paths, ids, [eav.Attribute("DP", "Integer"), eav.Attribute("AF", "Float")]).orderBy("record_id").collect()
     assert (out[0].DP, out[0].others, out[0].failed_casts) == (7, {"XQ": "x"}, {})
     assert (out[1].DP, out[1].AF, out[1].failed_casts) == (None, 1.5, {"DP": "many"})
-    stats = drift.path_type_statistics(paths.withColumn("path", F.col("field_id")))
-    assert {(r.path, r.raw_type): r.n_values for r in stats.collect()}[("DP", "String")] == 1
+    headers = spark.createDataFrame([(1, 1, '##INFO=<ID=DP,Type=Integer,Description="Depth">'), (1, 2, '##INFO=<ID=NONE,Type=Flag>')], "file_id long, line_no int, line string")
+    stats = drift.path_type_statistics(drift.path_statistics(drift.declaration_paths(headers), paths))
+    assert {(r.path, r.declared_type, r.raw_type): r.n_values for r in stats.collect()} == {
+        ("INFO/DP", "Integer", "Integer"): 1, ("INFO/DP", "Integer", "String"): 1, ("INFO/XQ", None, "String"): 1, ("INFO/OLD", None, "Float"): 1,
+    }
 
 
 def variant_tables(spark, folder, records):
