@@ -103,6 +103,16 @@ def _typed(name: str, attribute: Attribute) -> Column:
     return typed_value(F.col(f"`{name}`"), attribute)
 
 
+def _may_fill(seen, attribute: Attribute) -> bool:
+    """Whether an attribute with the type counts of ``discover_attributes`` can hold a value of the declared type."""
+    told = seen.n_rows - seen.n_missing
+    if attribute.kind.strip().lower() == "flag":
+        return seen.n_flag > 0
+    if attribute.arity > 1:
+        return seen.n_list > 0
+    return {"integer": seen.n_integer, "float": seen.n_float}.get(attribute.kind.strip().lower(), told) > 0
+
+
 def pivot_attributes(
     rows: DataFrame,
     attributes: Sequence[Attribute] | None,
@@ -116,9 +126,9 @@ def pivot_attributes(
 ) -> DataFrame:
     """One row per entity, one column per declared attribute.
 
-    Attributes are found first: those of the table that are declared (``attributes``), or,
-    if None, all of them with their inferred types (more than ``max_attributes`` is an
-    error). Each column is then one conditional aggregation: of the valid values for a
+    Attributes and types are found first: of those that are declared (``attributes``) the ones with
+    values that look like the declared type, or, if None, all of them with their inferred types (more than
+    ``max_attributes`` is an error). An attribute without such values is an empty column. Each column is then one conditional aggregation: of the valid values for a
     cell the greatest by the columns ``newest`` counts (nulls count as oldest; remaining
     ties go to the greater text), exact repeats change nothing, missing and invalid values
     fill nothing. With ``typed`` columns have their types (lists are arrays; integers beyond
@@ -143,7 +153,8 @@ def pivot_attributes(
         present = {a.name for a in attributes}
     else:
         names = [a.name.lower() for a in attributes]
-        present = {r.attribute_key for r in seen.where(F.col("attribute_key").isin(names)).select("attribute_key").collect()}
+        found = {r.attribute_key: r for r in seen.where(F.col("attribute_key").isin(names)).collect()}
+        present = {a.name.lower() for a in attributes if a.name.lower() in found and _may_fill(found[a.name.lower()], a)}
     spark = rows.sparkSession
     known = spark.createDataFrame(
         [(i, a.name.lower(), a.kind, a.arity) for i, a in enumerate(attributes) if a.name.lower() in present],
