@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from readloom import registry
+
 
 def complement(s: Column) -> Column:
     return F.translate(s, "ACGTacgt", "TGCAtgca")
@@ -34,11 +36,24 @@ def base_share(s: Column, base: str) -> Column:
     return F.when(n > 0, (n - F.length(F.translate(s, base, ""))) / n)
 
 
+# Intercept and slope of the linear correction.
+LINEAR_CORRECTION = (10.4436, 8.266972)
+
+
 def gc_correction_weight(s: Column) -> Column:
     """Linear correction of coverage by the share of G and C among A, C, G, T."""
     known = F.length(s) - F.length(F.translate(s, "ACGTacgt", ""))
     gc = F.length(s) - F.length(F.translate(s, "GCgc", ""))
-    return F.when(known > 0, F.lit(10.4436) - F.lit(8.266972) * gc / known)
+    return F.when(known > 0, F.lit(LINEAR_CORRECTION[0]) - F.lit(LINEAR_CORRECTION[1]) * gc / known)
+
+
+def log_gc_weight(s: Column) -> Column:
+    """Logarithm of the linear correction's reciprocal."""
+    return -F.log(gc_correction_weight(s))
+
+
+for _name, _weight in (("gc", gc_share), ("at", at_share), ("atgc", gc_correction_weight), ("log-gc", log_gc_weight)):
+    registry.register("weight", _name, _weight)
 
 
 def color_space(s: Column) -> Column:
@@ -129,3 +144,52 @@ def best_barcode(sequence: Column, barcodes: list[str], allowed: int) -> Column:
     best = F.array_min(found)
     ties = F.size(F.filter(found, lambda f: f["differences"] == best["differences"]))
     return F.when(best["differences"] <= allowed, F.struct(best["barcode_index"].alias("barcode_index"), best["differences"].alias("differences"), (ties > 1).alias("ambiguous")))
+
+
+def best_end_barcode(sequence: Column, barcodes: list[str], allowed: int, least: int = 5) -> Column:
+    """``(barcode_index, length, differences, ambiguous)`` of the barcode whose beginning fits the read's end best, or null.
+
+    At least ``least`` bases of a barcode (all of a shorter one) must be there; fewer differences win, then the longer fit.
+    """
+    found = F.array(*[
+        F.struct(
+            mismatches(F.substr(sequence, F.greatest(F.length(sequence) - k + 1, F.lit(1)), F.lit(k)), F.lit(b[:k])).alias("differences"),
+            F.lit(-k).alias("shortness"), F.lit(i).alias("barcode_index"),
+        )
+        for i, b in enumerate(barcodes) for k in range(min(least, len(b)), len(b) + 1)
+    ])
+    fits = F.filter(found, lambda f: (f["differences"] <= allowed) & (F.length(sequence) >= -f["shortness"]))
+    best = F.array_min(fits)
+    ties = F.filter(fits, lambda f: (f["differences"] == best["differences"]) & (f["shortness"] == best["shortness"]))
+    return F.when(F.size(fits) > 0, F.struct(
+        best["barcode_index"].alias("barcode_index"), (-best["shortness"]).alias("length"), best["differences"].alias("differences"), (F.size(ties) > 1).alias("ambiguous")
+    ))
+
+
+def arcsine_root(share: Column) -> Column:
+    return F.asin(F.sqrt(share))
+
+
+def base_index(base: Column) -> Column:
+    """A, T, C, G and others as 0 to 4."""
+    at = F.instr(F.lit("ATCG"), F.upper(base))
+    return F.when((F.length(base) == 1) & (at > 0), at - 1).otherwise(4)
+
+
+def rounded_length(length: Column, step: int) -> Column:
+    """The next multiple of ``step``."""
+    return F.ceil(length / step) * step
+
+
+def absolute_position(target_offset: Column, position: Column) -> Column:
+    return target_offset.cast("long") + position
+
+
+def quality_in_range(scores: Column, least: int = 0, most: int = 93) -> Column:
+    return F.forall(F.coalesce(scores, F.array().cast("array<tinyint>")), lambda q: q.between(least, most))
+
+
+def name_attributes(name: Column, names: list[str], delimiter: str = "-") -> Column:
+    """Parts of a file name between delimiters as a struct; missing parts are null, the extension is dropped."""
+    parts = F.split(F.regexp_replace(name, r"\.[^./]*$", ""), delimiter)
+    return F.struct(*[F.get(parts, i).alias(n) for i, n in enumerate(names)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom import registry
 from readloom.session import cut_lineage
 
 
@@ -116,3 +117,8 @@ def dense_index(df: DataFrame, name: str, index: str = "index") -> DataFrame:
     return spread.join(F.broadcast(parts), F.col("__part") == F.col("__p")).select(
         name, (F.row_number().over(inside) - 1 + F.col("__before")).alias(index)
     )
+
+
+registry.register("alignment_filter", "best_score", best_score)
+registry.register("alignment_filter", "mismatches", lambda df, share=0.05: df.where(few_mismatches(F.col("mismatches"), F.col("indels"), F.col("query_length"), share)))
+registry.register("alignment_filter", "mapping_quality", lambda df, least: df.where(good_mapping(F.col("mapping_quality"), least)))

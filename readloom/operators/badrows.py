@@ -30,7 +30,14 @@ _LINE = rf"(?s)^{_FIELD}(?:\t{_FIELD})*+\z"
 #: The reader refuses lines of more columns; those are counted without it.
 _READER_COLUMNS = 20000
 # Line ends inside a line would end the record for the reader; it sees stand-ins instead.
-_ENDS, _STAND_INS = "\r\n", ""
+_ENDS, _STAND_INS, _ESCAPE = "\r\n", "\ue00d\ue00a", "\ue00e"
+
+
+def _restored(value: Column) -> Column:
+    """Line ends for stand-ins; a stand-in after the escape is itself."""
+    for end, mark in zip(_ENDS, _STAND_INS):
+        value = F.regexp_replace(value, f"(?<!{_ESCAPE})((?:{_ESCAPE}{_ESCAPE})*){mark}", f"$1{end}")
+    return F.regexp_replace(value, f"{_ESCAPE}([{_STAND_INS}{_ESCAPE}])", "$1")
 
 
 def read_columns(columns: DataFrame, table: str, max_columns: int = 10000) -> list[FileColumn]:
@@ -79,10 +86,13 @@ def classify_lines(lines: DataFrame, columns: Sequence[FileColumn], line: str =
     outside = F.regexp_replace(text, r'"[^"]*+(?:""[^"]*+)*+"', "")
     n_fields = F.when(quoted, _tabs(outside)).otherwise(_tabs(text)) + 1
     narrow = (_tabs(text) <= _READER_COLUMNS) | (~broken & (n_fields <= _READER_COLUMNS))
-    read = F.from_csv(F.when(narrow, F.translate(text, _ENDS, _STAND_INS)), schema, options)
+    # The stand-ins themselves, should a line hold them, are escaped by a third mark.
+    # Few lines hold any of them; all others are read as they are.
+    escaped = F.translate(F.regexp_replace(text, f"([{_STAND_INS}{_ESCAPE}])", f"{_ESCAPE}$1"), _ENDS, _STAND_INS)
+    read = F.from_csv(F.when(narrow, F.when(F.col("__marked"), escaped).otherwise(text)), schema, options)
     corrupt = F.col("__read.corrupt").isNotNull() | F.col("__read").isNull()
     values = F.array(*[
-        F.translate(F.coalesce(F.col(f"__read.{n}"), F.lit("")), _STAND_INS, _ENDS) for n in names
+        F.when(F.col("__marked"), _restored(F.coalesce(F.col(f"__read.{n}"), F.lit("")))).otherwise(F.coalesce(F.col(f"__read.{n}"), F.lit(""))) for n in names
     ])
     bad = []
     for i, c in enumerate(columns):
@@ -99,6 +109,7 @@ def classify_lines(lines: DataFrame, columns: Sequence[FileColumn], line: str =
         lines.select(*[F.col(f"`{c}`") for c in kept])
         .where(is_data(F.col(f"`{line}`"), columns))
         .withColumn("__text", F.regexp_replace(F.col(f"`{line}`"), r"\r\z", ""))
+        .withColumn("__marked", text.rlike(f"[{_ENDS}{_STAND_INS}{_ESCAPE}]"))
     )
     split = fenced(
         fenced(data, __read=read),
@@ -124,16 +135,20 @@ def failing_lines(classified: DataFrame) -> DataFrame:
 def typed_rows(classified: DataFrame, columns: Sequence[FileColumn], keep: Sequence[str] = ()) -> DataFrame:
     """The lines that fit as typed columns beside ``keep``; missing values are null.
 
-    An integer beyond 64 bits is null. A kept column that clashes with a declared one gets
-    the prefix ``line_``.
+    An integer beyond 64 bits is null in its column, and stands in ``uncast``, a map of column names to what the line says. A kept
+    column that clashes with a declared one or with ``uncast`` gets the prefix ``line_``.
     """
-    names = {c.name for c in columns}
-    out = []
+    names = {c.name for c in columns} | {"uncast"}
+    out, lost = [], []
     for i, c in enumerate(columns):
-        value = F.element_at("fields", i + 1)
-        kind = c.kind.lower()
-        cast = V.trimmed(value).try_cast("bigint") if kind == "integer" else V.to_double(value) if kind == "float" else V.trimmed(value)
-        out.append(F.when(~V.is_missing(value), cast).alias(c.name))
+        value = V.trimmed(F.element_at("fields", i + 1))
+        kind, told = c.kind.lower(), ~V.is_missing(F.element_at("fields", i + 1))
+        cast = value.try_cast("bigint") if kind == "integer" else V.to_double(value) if kind == "float" else value
+        out.append(F.when(told, cast).alias(c.name))
+        if kind == "integer":
+            lost.append(F.when(told & cast.isNull(), F.struct(F.lit(c.name).alias("name"), value.alias("value"))))
+    entries = F.filter(F.array(*lost), lambda e: e.isNotNull()) if lost else F.array()
+    uncast = F.map_from_entries(entries.cast("array<struct<name:string,value:string>>"))
     return classified.where("reason is null").select(
-        *[F.col(f"`{k}`").alias(f"line_{k}" if k in names else k) for k in keep], *out
+        *[F.col(f"`{k}`").alias(f"line_{k}" if k in names else k) for k in keep], *out, uncast.alias("uncast")
     )

@@ -16,11 +16,26 @@ from readloom.operators.variants import SITE
 
 
 def genome_blocks(genome: DataFrame, size: int = 4096) -> DataFrame:
-    """``target, block, bases`` of a table ``target, sequence``."""
-    n = F.floor((F.length("sequence") - 1) / size)
-    return genome.where("length(sequence) > 0").select("target", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("block"), "sequence").select(
-        "target", "block", F.substr("sequence", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("bases")
-    )
+    """``target, block, bases`` of a table ``target, sequence``: each sequence is cut once, in a stream.
+
+    For files whose sequences are too long for a row see ``sources.lines.read_fasta_blocks``.
+    """
+    kind = genome.schema["target"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bases = batch.column(1)[row].as_py()
+                for at in range(0, len(bases), size * 1024):
+                    starts = range(at, min(at + size * 1024, len(bases)), size)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([batch.column(0)[row].as_py()] * len(starts), batch.column(0).type), pa.array([s // size for s in starts], pa.int64()), pa.array([bases[s : s + size] for s in starts])],
+                        names=["target", "block", "bases"],
+                    )
+
+    return genome.where("length(sequence) > 0").select("target", "sequence").mapInArrow(run, f"target {kind}, block long, bases string")
 
 
 def with_window(df: DataFrame, blocks: DataFrame, position: str, size: int = 4096) -> DataFrame:
@@ -138,7 +153,14 @@ def realign(reads: DataFrame, indels: DataFrame, blocks: DataFrame, width: int =
 
     a = reads.withColumn("l_start", F.col("position")).withColumn("l_end", F.col("position") + F.col("length")).withColumnRenamed("length", "span")
     b = indels.select("target", "start", "length", F.col("start").alias("r_start"), (F.col("start") + 1).alias("r_end"))
-    pairs = with_window(range_join(a, b, ["target"], width), blocks, "position", size).where("window is not null")
+    met = range_join(a, b, ["target"], width)
+    # All blocks from an indel's length before the read to one after it.
+    first, last = (F.floor(x / size) for x in (F.greatest(F.col("position") - F.col("length"), F.lit(0)), F.col("position") + F.col("span") + F.col("length")))
+    near = met.withColumn("block", F.explode(F.sequence(first, last))).join(blocks, ["target", "block"])
+    pairs = near.groupBy("read_id", "position", "span", "start", "length").agg(
+        F.first("variations").alias("variations"), F.array_join(F.array_sort(F.collect_list(F.struct("block", "bases")))["bases"], "").alias("window"),
+        (F.min("block") * size).alias("window_start"),
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

@@ -92,25 +92,76 @@ def merge_overlaps(df: DataFrame, target: str, start, end, gap: int = 0, block:
     )
 
 
+_LEVELS = 16
+
+
+def _level(size: Column, width: int) -> Column:
+    """The first level whose bins, 4 times as wide on each level, are at least as wide as ``size``."""
+    return sum(((size > width * 4**k).cast("int") for k in range(_LEVELS - 1)), F.lit(0))
+
+
+def _bin_width(width: int) -> Column:
+    return (F.lit(width) * F.pow(F.lit(4), F.col("__level"))).cast("long")
+
+
+def _levels_of(df: DataFrame, size: Column, width: int) -> list[int]:
+    """The levels that occur, at most 16 of them."""
+    told = df.agg(F.bit_or(F.pow(F.lit(2), _level(size, width)).cast("long"))).first()[0] or 0
+    return [k for k in range(_LEVELS) if told >> k & 1]
+
+
 def range_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], width: int, how: str = "overlap",
     bounds: tuple[str, str, str, str] = ("l_start", "l_end", "r_start", "r_end"),
 ) -> DataFrame:
     """Pairs of rows with equal ``keys`` whose intervals overlap (or, ``contained``: left within right).
 
-    Both sides are spread over bins of ``width`` and joined on keys and bin; a pair that
-    meets in several bins is kept in the first. ``width`` should be about the usual length. Column names
-    of both sides but the keys must differ.
+    Each interval is at home on the level whose bins (``width`` on the first, 4 times as wide on each further one) are as wide as it is, so
+    that it lies in two bins at most however long it is. It meets longer intervals in the bins of their level; only levels that
+    the other side has are visited. A pair that meets in several bins is kept in the first. ``width`` should be
+    about the usual length. Column names of both sides but the keys must differ.
     """
     ls, le, rs, re_ = bounds
-    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)))
-    a = left.where(F.col(ls) < F.col(le)).withColumn("__bin", bins(ls, le))
-    b = right.where(F.col(rs) < F.col(re_)).withColumn("__bin", bins(rs, re_))
+    a, b = left.where(F.col(ls) < F.col(le)), right.where(F.col(rs) < F.col(re_))
+    left_levels, right_levels = (_levels_of(d, F.col(e) - F.col(s), width) for d, s, e in ((a, ls, le), (b, rs, re_)))
+
+    def spread(df: DataFrame, start: str, end: str, visited: list[int], side: str) -> DataFrame:
+        home = _level(F.col(end) - F.col(start), width)
+        levels = F.filter(F.array(*[F.lit(k) for k in visited]).cast("array<int>"), lambda k: k > home)
+        size = _bin_width(width)
+        placed = df.withColumn(f"__home_{side}", home).withColumn("__level", F.explode(F.array_union(F.array(home), levels)))
+        return placed.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size))))
+
+    x, y = spread(a, ls, le, right_levels, "l"), spread(b, rs, re_, left_levels if how != "contained" else [], "r")
+    on = [*keys, "__level", "__bin"]
+    at_home_l, at_home_r = F.col("__home_l") == F.col("__level"), F.col("__home_r") == F.col("__level")
+    # Two that only visit a level don't meet there.
+    met = x.where(at_home_l).join(y, on)
+    if any(k > min(left_levels, default=_LEVELS) for k in right_levels):
+        met = met.unionByName(x.where(~at_home_l).join(y.where(at_home_r), on))
     test = (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le))
     if how == "contained":
         test = (F.col(ls) >= F.col(rs)) & (F.col(le) <= F.col(re_))
-    first = F.floor(F.greatest(F.col(ls), F.col(rs)) / width) == F.col("__bin")
-    return a.join(b, [*keys, "__bin"]).where(test & first).drop("__bin")
+    first = F.floor(F.greatest(F.col(ls), F.col(rs)) / _bin_width(width)) == F.col("__bin")
+    return met.where(test & first).drop("__bin", "__level", "__home_l", "__home_r")
+
+
+def trailing_counts(df: DataFrame, keys: Sequence[str], position: str, width: int, name: str = "n", block: int = 1 << 16) -> DataFrame:
+    """``df`` with ``name``, the rows of its key from ``position - width`` to its position, both included.
+
+    Rows are counted by place; the number is the difference of two running counts, so that a key with most rows is
+    not ordered by one task. Rows with a null position or key have none.
+    """
+    keys = list(keys)
+    places = cut_lineage(df.where(F.col(position).isNotNull()).groupBy(*keys, F.col(position).cast("long").alias("__p")).agg(F.count(F.lit(1)).alias("__m")))
+    ask = lambda at, sign: places.select(*keys, at.alias("__at"), F.lit(0).cast("long").alias("__m"), F.col("__p"), F.lit(sign).alias("__sign"))
+    events = (
+        places.select(*keys, F.col("__p").alias("__at"), "__m").unionByName(ask(F.col("__p") + 1, 1), allowMissingColumns=True)
+        .unionByName(ask(F.col("__p") - width, -1), allowMissingColumns=True)
+    )
+    read = running(events, keys, "__at", {"__c": ("sum", "__m")}, block, strict=True).where("__sign is not null")
+    told = read.groupBy(*keys, "__p").agg(F.sum(F.col("__sign") * F.coalesce("__c", F.lit(0))).alias(name))
+    return df.withColumn("__p", F.col(position).cast("long")).join(told, [*keys, "__p"], "left").select(*df.columns, name)
 
 
 def overlap_counts(reads: DataFrame, regions: DataFrame, target: str, block: int = 1 << 16) -> DataFrame:
@@ -158,39 +209,101 @@ def average_depth(runs: DataFrame, regions: DataFrame, target: str, width: int)
     return regions.join(sums, on, "left").select(*regions.columns, mean.alias("average_depth"))
 
 
-def anchor_clusters(df: DataFrame, target: str, position: str, threshold: float) -> DataFrame:
-    """``df`` with ``anchor``: the first position of its greedy cluster along a target.
+def _after(places, threshold):
+    """For each place (in order) the number of the first one more than ``threshold`` after it."""
+    import numpy as np
+
+    return np.searchsorted(places, places + threshold, "right")
 
-    A row joins the cluster while its distance to the cluster's **first** row is at most
-    ``threshold``. That is sequential only across gaps of at most the threshold: the chain is cut
-    wherever two neighbours are further apart, and each cut stretch is read in order by one
-    task, row by row.
-    """
-    places = cut_lineage(df.select(target, position).where(F.col(position).isNotNull()).distinct())
-    near = cut_lineage(neighbours(places, [target], position, [position]))
-    far = F.col(f"previous_{position}").isNull() | (F.col(position) - F.col(f"previous_{position}") > threshold)
-    stretches = islands(near.select(target, position, far.alias("__far")), [target], position, F.col("__far"))
 
-    def scan(batches):
+def _block_exits(threshold: float, width: int):
+    """Per block: the places at which a chain may enter it, and the last anchor of the chain from each."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        places = np.sort(table.column("p").to_numpy())
+        start, n = table.column("b")[0].as_py() * width, len(places)
+        # From each place to the last anchor before the block's end, from the last place down.
+        step, last = _after(places, threshold).tolist(), list(range(n))
+        for i in range(n - 1, -1, -1):
+            if step[i] < n:
+                last[i] = last[step[i]]
+        entries = min(int(np.searchsorted(places, start + threshold, "right")) + 1, n)
+        return pa.table({
+            "t": table.column("t").slice(0, 1), "b": table.column("b").slice(0, 1),
+            "entries": pa.array([places[:entries].tolist()], pa.list_(table.column("p").type)), "exits": pa.array([places[np.array(last[:entries])].tolist()], pa.list_(table.column("p").type)),
+        })
+
+    return run
+
+
+def _chain(threshold: float):
+    """Per target: the anchor in force where each block begins, from the blocks' entries and exits in order."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("b")
+        anchor, came = None, []
+        for entries, exits in zip(table.column("entries").to_pylist(), table.column("exits").to_pylist()):
+            came.append(anchor)
+            at = 0 if anchor is None else int(np.searchsorted(entries, anchor + threshold, "right"))
+            if at < len(entries):
+                anchor = exits[at]
+        return pa.table({"t": table.column("t"), "b": table.column("b"), "came": pa.array(came, table.schema.field("entries").type.value_type)})
+
+    return run
+
+
+def _anchors(threshold: float):
+    """Per block: the anchor of each place, from the one in force where the block begins."""
+
+    def run(table):
+        import numpy as np
         import pyarrow as pa
 
-        stretch, anchor = None, None
-        for batch in batches:
-            anchors = []
-            for t, i, p in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if (t, i) != stretch or p - anchor > threshold:
-                    stretch, anchor = (t, i), p
-                anchors.append(anchor)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(anchors, batch.column(2).type)], names=[target, position, "anchor"]
-            )
+        table = table.sort_by("p")
+        places, came = table.column("p").to_numpy(), table.column("came")[0].as_py()
+        step, n = _after(places, threshold), len(places)
+        at = 0 if came is None else int(np.searchsorted(places, came + threshold, "right"))
+        visited = []
+        first = at
+        while at < n:
+            visited.append(at)
+            at = int(step[at])
+        anchors = np.empty(n, dtype=places.dtype)
+        anchors[:first] = 0 if came is None else came
+        if visited:
+            number = np.searchsorted(np.array(visited), np.arange(first, n), "right") - 1
+            anchors[first:] = places[np.array(visited)][number]
+        return pa.table({"t": table.column("t"), "p": table.column("p"), "anchor": pa.array(anchors, table.column("p").type)})
+
+    return run
+
+
+def anchor_clusters(df: DataFrame, target: str, position: str, threshold: float, block: int = 1 << 16) -> DataFrame:
+    """``df`` with ``anchor``: the first position of its greedy cluster along a target.
 
+    A row joins the cluster while its distance to the cluster's **first** row is at most
+    ``threshold``. Positions are whole numbers. They are cut into blocks; each block tells for the few places at which a chain of
+    clusters may enter it where that chain leaves it, the blocks of a target are then followed one after another (a row a block), and
+    each block sets its anchors. Rows with a null position or target have a null anchor.
+    """
+    width = int(max(block, 64 * threshold))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    found = (
-        stretches.select(target, "island", position).repartition(target, "island").sortWithinPartitions(target, "island", position)
-        .mapInArrow(scan, f"`{target}` {kinds[target]}, `{position}` {kinds[position]}, anchor {kinds[position]}")
-    )
-    return df.join(found, [target, position], "left")
+    t, p = kinds[target], kinds[position]
+    told = F.col(target).isNotNull() & F.col(position).isNotNull()
+    places = cut_lineage(
+        df.where(told).select(F.col(target).alias("t"), F.col(position).alias("p")).distinct().withColumn("b", F.floor(F.col("p") / width).cast("long"))
+    )
+    exits = places.groupBy("t", "b").applyInArrow(_block_exits(threshold, width), f"t {t}, b long, entries array<{p}>, exits array<{p}>")
+    came = exits.groupBy("t").applyInArrow(_chain(threshold), f"t {t}, b long, came {p}")
+    found = places.join(came, ["t", "b"]).groupBy("t", "b").applyInArrow(_anchors(threshold), f"t {t}, p {p}, anchor {p}")
+    named = found.select(F.col("t").alias(target), F.col("p").alias(position), F.col("anchor").alias("__anchor"))
+    return df.join(named, [target, position], "left").select(*df.columns, F.col("__anchor").alias("anchor"))
 
 
 def depth_tally(runs: DataFrame) -> DataFrame:

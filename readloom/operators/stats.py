@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom import registry
 from readloom.functions import numeric
 from readloom.operators.prefix import running
 from readloom.session import cut_lineage
@@ -33,16 +34,26 @@ def parse_comparisons(text: str) -> list[tuple[str, str]]:
     return [p for p in pairs if len(p) == 2]  # type: ignore[misc]
 
 
-def complete(matrix: DataFrame) -> DataFrame:
-    """The matrix with a row for every element and sample, 0 where none was.
+def known_samples(matrix: DataFrame, most: int = 20_000) -> list[tuple[str, str]]:
+    """Samples with their groups, a dimension of one row a library; more than ``most`` are an error."""
+    rows = matrix.select("sample", "grp").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the matrix has more than {most} samples")
+    return sorted((r["sample"], r["grp"]) for r in rows if r["sample"] is not None)
 
-    Samples are a small dimension (one row a library); elements are exploded over their array.
+
+def complete(matrix: DataFrame, samples: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """``element, sample, grp, count`` for every element and sample, 0 where nothing was counted.
+
+    ``samples`` are those of ``known_samples`` unless told. The cells of an element stay where they were
+    aggregated, so that an aggregation by element needs no other shuffle.
     """
-    samples = matrix.select("sample", "grp").distinct().agg(F.collect_list(F.struct("sample", "grp")).alias("all"))
-    counts = matrix.groupBy("element", "sample").agg(F.sum("count").alias("count"))
+    samples = known_samples(matrix) if samples is None else list(samples)
+    one = matrix.sparkSession.createDataFrame([(1, list(samples))], "one int, all array<struct<sample:string,grp:string>>")
+    counts = matrix.where("sample is not null").groupBy("element", "sample").agg(F.sum("count").alias("count"))
     cells = counts.groupBy("element").agg(F.map_from_entries(F.collect_list(F.struct("sample", "count"))).alias("m"))
-    # One row holds the list of samples; its join is a broadcast of that row.
-    spread = cells.withColumn("one", F.lit(1)).join(F.broadcast(samples.withColumn("one", F.lit(1))), "one")
+    # One row of at most ``most`` samples is broadcast.
+    spread = cells.withColumn("one", F.lit(1)).join(F.broadcast(one), "one")
     return spread.select("element", F.explode("all").alias("s"), "m").select(
         "element", "s.sample", "s.grp", F.coalesce(F.element_at("m", F.col("s.sample")), F.lit(0)).alias("count")
     )
@@ -81,9 +92,23 @@ def log2_plus(x: Column) -> Column:
     return F.log1p(x) / F.log(F.lit(2.0))
 
 
+def normalised(matrix: DataFrame, denominators: DataFrame, lengths: DataFrame | None = None, pseudo: int = 1, length: float = 1000.0) -> DataFrame:
+    """The complete matrix with ``value``, its RPKM with ``pseudo`` added to every count, absent cells too.
+
+    ``denominators`` has ``sample, denominator``, ``lengths`` ``element, length`` (``length`` where it tells none).
+    """
+    whole = complete(matrix).join(F.broadcast(denominators), "sample")
+    if lengths is not None:
+        whole = whole.join(lengths.select("element", F.col("length").alias("__length")), "element", "left")
+    bases = F.coalesce("__length", F.lit(length)) if lengths is not None else F.lit(length)
+    return whole.select("element", "sample", "grp", "count", rpkm(F.col("count"), bases, F.col("denominator"), pseudo).alias("value"))
+
+
 def group_statistics(normalised: DataFrame, a: str, b: str) -> DataFrame:
     """Per element means of both groups, fold changes and t of ``value`` (columns element, grp, value).
 
+    The values must be those of all samples of the groups (see ``normalised``): absent cells are values, not gaps.
+
     ``t`` is of unequal variances, ``t_equal`` and ``df`` of equal ones, both on log1p of the value.
     Needs two values a group; else they are null.
     """
@@ -137,41 +162,40 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Colu
     return F.log2(ratio), F.when(~few, F.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
 
 
-def adjust_bh(df: DataFrame, p: str, q: str = "q", ignored: int = 0, block: int = 1 << 12) -> DataFrame:
+def adjust_bh(df: DataFrame, p: str, q: str = "q", ignored: int = 0) -> DataFrame:
     """``df`` with Benjamini-Hochberg ``q``: p * n / rank, made monotone from the greatest p down.
 
     All rows count in n, those with null or NaN p too (their q is 1), and ``ignored`` more. Equal
-    p share a q. Ranks and minima run over blocks of p, so no task orders all rows.
+    p share a q. Different p are spread by range over the tasks, as evenly where most are tiny as elsewhere;
+    ranks and minima of a task go on from those of the tasks before and after it.
     """
-    known = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
-    n = df.agg(F.count(F.lit(1)).alias("__all"))
-    by_p = cut_lineage(df.where(known).groupBy(F.col(p).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("__m")))
-    # Positions for the blocks: p in 2**-40 steps; equal p are one row.
-    placed = by_p.withColumn("__at", F.floor(F.col("__p") * (1 << 20))).withColumn("__k", F.lit(0))
-    steps = placed.groupBy("__k", "__at").agg(F.sum("__m").alias("__s"))
-    before = running(steps, ["__k"], "__at", {"__before": ("sum", "__s")}, block, strict=True).select("__at", "__before")
-    within = Window.partitionBy("__at").orderBy("__p")
-    ranked = placed.join(before, "__at").withColumn("__rank", F.col("__before") + F.sum("__m").over(within))
-    raw = ranked.withColumn("__one", F.lit(1)).join(F.broadcast(n.withColumn("__one", F.lit(1))), "__one").withColumn(
-        "__raw", F.col("__p") * (F.col("__all") + ignored) / F.col("__rank")
-    )
-    lows = raw.groupBy("__k", "__at").agg(F.min("__raw").alias("__low")).withColumn("__down", -F.col("__at"))
-    later = running(lows, ["__k"], "__down", {"__later": ("min", "__low")}, block, strict=True).select("__at", "__later")
-    downward = Window.partitionBy("__at").orderBy(F.col("__p").desc())
-    adjusted = raw.join(later, "__at").select("__p", F.least(F.lit(1.0), F.min("__raw").over(downward), F.col("__later")).alias("__q"))
-    out = df.withColumn("__own", F.when(known, F.col(p).cast("double"))).join(adjusted, F.col("__own") == F.col("__p"), "left")
-    return out.withColumn(q, F.coalesce("__q", F.lit(1.0))).select(*df.columns, q)
+    known = F.col(f"`{p}`").isNotNull() & ~F.isnan(F.col(f"`{p}`").cast("double"))
+    n = df.agg(F.count(F.lit(1)).alias("__all")).withColumn("__one", F.lit(1))
+    by_p = df.where(known).groupBy(F.col(f"`{p}`").cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("__m"))
+    # Range bounds are sampled, so the parts are written once.
+    spread = cut_lineage(by_p.repartitionByRange("__p").withColumn("__part", F.spark_partition_id()))
+    upto, after = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.col("__part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = spread.groupBy("__part").agg(F.sum("__m").alias("__s")).select("__part", F.coalesce(F.sum("__s").over(upto), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part")
+    rank = F.col("__before") + F.sum("__m").over(inside.orderBy("__p"))
+    # One row a task and one row are broadcast.
+    ranked = spread.withColumn("__one", F.lit(1)).join(F.broadcast(parts), "__part").join(F.broadcast(n), "__one").withColumn("__raw", F.col("__p") * (F.col("__all") + ignored) / rank)
+    lows = ranked.groupBy("__part").agg(F.min("__raw").alias("__low")).select("__part", F.min("__low").over(after).alias("__later"))
+    least = F.least(F.lit(1.0), F.min("__raw").over(inside.orderBy(F.col("__p").desc())), F.col("__later"))
+    adjusted = ranked.join(F.broadcast(lows), "__part").select("__p", least.alias("__q"))
+    out = df.withColumn("__own", F.when(known, F.col(f"`{p}`").cast("double"))).join(adjusted, F.col("__own") == F.col("__p"), "left")
+    return out.withColumn(q, F.coalesce("__q", F.lit(1.0))).select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"`{q}`"))
 
 
 def adjust_bonferroni(df: DataFrame, p: str, informative: Column | None = None, q: str = "q") -> DataFrame:
     """``df`` with min(1, p * n), n the rows for which ``informative`` holds (all by default)."""
     count = df.agg((F.count(F.lit(1)) if informative is None else F.count_if(informative)).alias("__n")).withColumn("__one", F.lit(1))
     out = df.withColumn("__one", F.lit(1)).join(F.broadcast(count), "__one")
-    return out.withColumn(q, F.least(F.lit(1.0), F.col(p) * F.col("__n"))).select(*df.columns, q)
+    return out.withColumn(q, F.least(F.lit(1.0), F.col(f"`{p}`") * F.col("__n"))).select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"`{q}`"))
 
 
 def combine(df: DataFrame, keys: Sequence[str], p: str, full_series: bool = False) -> DataFrame:
-    """Evidence of several p-values by key: greatest, least, upper median, and tail of the product.
+    """Evidence of several p-values by key: greatest, least, upper median, sum, and tail of the product.
 
     ``p_product`` is the tail of the product of n uniform values by its series; a zero gives
     zero. The series has n - 1 terms, with ``full_series`` the n of the published formula.
@@ -180,23 +204,17 @@ def combine(df: DataFrame, keys: Sequence[str], p: str, full_series: bool = Fals
     known = df.where(F.col(p).isNotNull())
     base = known.groupBy(*keys).agg(
         F.max(p).alias("p_max"), F.min(p).alias("p_min"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col(p) > 0, -F.log(F.col(p)))).alias("x"), F.count_if(F.col(p) <= 0).alias("zeros"),
+        F.sum(F.when(F.col(p) > 0, -F.log(F.col(p)))).alias("x"), F.count_if(F.col(p) <= 0).alias("zeros"), F.sum(p).alias("p_sum"),
     )
     counted = known.groupBy(*keys, F.col(p).alias("v")).agg(F.count(F.lit(1)).alias("m"))
     w = Window.partitionBy(*keys)
     upto = counted.withColumn("upto", F.sum("m").over(w.orderBy("v"))).withColumn("n", F.sum("m").over(w))
     median = upto.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*keys).agg(F.min("v").alias("p_median"))
     x, n = F.coalesce("x", F.lit(0.0)), F.col("n")
-    # Terms of exp(-x) * x**i / i!, in logs so that many values don't overflow.
-    terms = F.transform(F.sequence(F.lit(1), n), lambda i: i)
-    series = F.aggregate(
-        F.slice(terms, F.lit(1), F.greatest(n - (1 if full_series else 2), F.lit(0)).cast("int")),
-        F.struct(-x, F.exp(-x)),
-        lambda s, i: F.struct((s["col1"] + F.log(x / i)).alias("col1"), (s["col2"] + F.exp(s["col1"] + F.log(x / i))).alias("col2")),
-        lambda s: s["col2"],
-    )
-    tail = F.when(F.col("zeros") > 0, 0.0).when(x == 0, 1.0).otherwise(series)
-    return base.join(median, list(keys)).select(*keys, "n", "p_max", "p_min", "p_median", tail.alias("p_product"))
+    # The series is the upper tail of a sum of exponential values, with a term less that of one value less.
+    terms = n if full_series else F.greatest(n - 1, F.lit(1))
+    tail = F.when(F.col("zeros") > 0, 0.0).when(x == 0, 1.0).otherwise(numeric.gamma_tail_p(terms.cast("double"), x))
+    return base.join(median, list(keys)).select(*keys, "n", "p_max", "p_min", "p_median", "p_sum", tail.alias("p_product"))
 
 
 def pair_statistics(cma: Column, ca: Column, cmb: Column, cb: Column, bound: float = 1e6) -> dict[str, Column]:
@@ -232,3 +250,9 @@ def empirical_p(null: DataFrame, tests: DataFrame, keys: Sequence[str], statisti
     known = cum.join(total, keys, "left").select(*keys, "__bin", "__cum", F.coalesce("__n", F.lit(0)).alias("__n"))
     p = (F.col("__n") - F.col("__cum") + 1) / (F.col("__n") + 1)
     return asked.join(known, [*keys, "__bin"], "left").withColumn("empirical_p", p).select(*tests.columns, "empirical_p")
+
+
+for _name in ("max", "min", "median", "sum", "product"):
+    registry.register("combinator", _name, lambda df, keys, p, _column=f"p_{_name}": combine(df, keys, p).select(*keys, F.col(_column).alias("p")))
+for _name in ("delta", "dmr", "stat3", "stat5", "ptest"):
+    registry.register("pair_statistic", _name, lambda cma, ca, cmb, cb, _name=_name: pair_statistics(cma, ca, cmb, cb)[_name])

@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom import registry
+
 SITE = ["target", "position"]
 KEY = [*SITE, "sample"]
 # The order of alleles in count strings.
@@ -174,3 +176,19 @@ def methylation_regions(sites: DataFrame, regions: DataFrame, width: int) -> Dat
         .agg(F.sum("c").alias("c"), F.sum("cm").alias("cm"), F.count(F.lit(1)).alias("n_sites"))
         .withColumn("rate", 100 * F.col("cm") / (F.col("c") + F.col("cm")))
     )
+
+
+registry.register("genotype_filter", "at-least-a-quarter", at_least_a_quarter)
+registry.register("genotype_filter", "diploid", diploid)
+registry.register("genotype_filter", "strand-bias", strand_bias)
+registry.register("site_format", "compare-groups", compare_groups)
+registry.register("site_format", "indel-counts", indel_rate)
+registry.register("site_format", "methylation", methylation_sites)
+registry.register("site_format", "methylation-regions", methylation_regions)
+
+
+def filtered_by(counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Counts after the genotype filters of these names, one after another."""
+    for name in names:
+        counts = registry.named("genotype_filter", name)(counts)
+    return counts

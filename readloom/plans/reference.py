@@ -64,7 +64,7 @@ def start_counts(spark, folder):
 
 
 def merged_intervals(spark, folder):
-    return intervals.merge_overlaps(_reads(spark, folder).where("l_returnflag = 'R'"), "target", "start", "end", 0, 1 << 10)
+    return intervals.merge_overlaps(_reads(spark, folder), "target", "start", "end", 0, 1 << 10)
 
 
 def overlap_counts(spark, folder):
@@ -85,7 +85,7 @@ def region_average_depth(spark, folder):
 
 
 def anchor_clusters(spark, folder):
-    rows = _reads(spark, folder).where("l_returnflag = 'R'").select("target", "start").distinct()
+    rows = _reads(spark, folder).select("target", "start").distinct()
     return intervals.anchor_clusters(rows, "target", "start", 5)
 
 
@@ -204,11 +204,8 @@ def name_index(spark, folder):
 
 
 def rolling_counts(spark, folder):
-    from pyspark.sql import Window
-
     e = table(spark, folder, "events").withColumn("s", F.unix_timestamp("ts"))
-    w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-86400, 0)
-    return e.select("event_id", F.count(F.lit(1)).over(w).alias("n"))
+    return intervals.trailing_counts(e, ["user_id"], "s", 86400, block=1 << 18).select("event_id", "n")
 
 
 def binned_totals(spark, folder):
@@ -218,29 +215,38 @@ def binned_totals(spark, folder):
     )
 
 
-def _matrix(spark, folder) -> DataFrame:
+def _matrix(spark, folder, element: str = "p_brand") -> DataFrame:
     """Quantities by brand (element), nation (sample) and region (group)."""
     return (
         table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .groupBy(F.col("p_brand").alias("element"), F.col("n_name").alias("sample"), F.col("r_name").alias("grp"))
+        .groupBy(F.col(element).alias("element"), F.col("n_name").alias("sample"), F.col("r_name").alias("grp"))
         .agg(F.sum(F.col("l_quantity").cast("long")).alias("count"))
     )
 
 
-def group_fold_change(spark, folder):
-    m = _matrix(spark, folder)
-    normal = m.join(stats.sample_totals(m), "sample").withColumn("value", stats.rpkm(F.col("count"), F.lit(1000.0), F.col("total"), 1))
-    s = stats.group_statistics(normal, "ASIA", "EUROPE")
+def _normalised(m: DataFrame) -> DataFrame:
+    return stats.normalised(m, stats.sample_totals(m).select("sample", F.col("total").alias("denominator")))
+
+
+def _fold_change(m: DataFrame) -> DataFrame:
+    s = stats.group_statistics(_normalised(m), "ASIA", "EUROPE")
     return s.select("element", *[F.round(c, 5).alias(c) for c in ("mean_a", "mean_b", "fold_change", "log2_fold_change", "fold_change_magnitude", "t", "t_equal")], "df")
 
 
+def group_fold_change(spark, folder):
+    return _fold_change(_matrix(spark, folder))
+
+
+def group_fold_change_sparse(spark, folder):
+    """Of parts, most of which most nations never sold."""
+    return _fold_change(_matrix(spark, folder, "l_partkey"))
+
+
 def group_t_test(spark, folder):
-    m = _matrix(spark, folder)
-    normal = m.join(stats.sample_totals(m), "sample").withColumn("value", stats.rpkm(F.col("count"), F.lit(1000.0), F.col("total"), 1))
-    return stats.with_t_p(stats.group_statistics(normal, "ASIA", "EUROPE")).select("element", F.round("p", 8).alias("p"))
+    return stats.with_t_p(stats.group_statistics(_normalised(_matrix(spark, folder)), "ASIA", "EUROPE")).select("element", F.round("p", 8).alias("p"))
 
 
 def upper_quartiles(spark, folder):
@@ -474,7 +480,7 @@ def sample_pairs(spark, folder):
 
 
 def wide_counts(spark, folder):
-    return annotation.wide_counts(_matrix(spark, folder), ["NATION_0", "NATION_1", "NATION_2"])
+    return annotation.wide_counts(_matrix(spark, folder), [f"NATION_{i}" for i in range(25)])
 
 
 def site_spacing(spark, folder):
@@ -511,7 +517,7 @@ QUERIES = {
         coverage_runs, coverage_weighted, coverage_peaks, coverage_depth_tally, coverage_wiggle, start_counts, merged_intervals, overlap_counts,
         contained_counts, region_average_depth, anchor_clusters, pileup_depth, best_score, best_score_ambiguity, gene_ambiguity, without_ambiguous,
         mates, alignment_difference, slice_filter, pair_flags, duplicate_texts, base_counts, dinucleotides, kmer_counts, sequence_functions,
-        adapter_trim, quality_by_cycle, file_statistics, name_index, rolling_counts, binned_totals, group_fold_change, group_t_test, upper_quartiles,
+        adapter_trim, quality_by_cycle, file_statistics, name_index, rolling_counts, binned_totals, group_fold_change, group_fold_change_sparse, group_t_test, upper_quartiles,
         chi_square, chi_square_p, adjusted_bh, adjusted_bonferroni, combined_p, fdr_combined, odds_ratios, fisher_tests, allele_counts, site_gate,
         quality_left_over, filter_quarter, filter_diploid, filter_strand_bias, filter_chain, genotype_calls, allele_groups, compared_groups,
         somatic_candidates, indel_rates, methylation_sites, methylation_regions, pair_statistics, empirical_p, props_flat, column_types,

@@ -54,6 +54,19 @@ def _bh(rows: str, p: str) -> str:
     adjusted AS (SELECT *, least(1.0, min(raw) OVER (ORDER BY {p} DESC)) AS q FROM ranked)"""
 
 
+def _fold_change(matrix: str) -> str:
+    """Means over all samples of a group: a sample in which nothing of an element was counted is one with a count of 0."""
+    return f"""WITH {matrix}, tot AS (SELECT sample, grp, sum(c) AS total FROM matrix GROUP BY sample, grp),
+        v AS (SELECT e.element, t.grp, (coalesce(m.c, 0) + 1.0::DOUBLE) / (t.total / 1e6) AS value
+            FROM (SELECT DISTINCT element FROM matrix) e CROSS JOIN tot t LEFT JOIN matrix m ON m.element = e.element AND m.sample = t.sample),
+        g AS (SELECT element, avg(value) FILTER (grp = 'ASIA') AS ma, avg(value) FILTER (grp = 'EUROPE') AS mb, count(*) FILTER (grp = 'ASIA') AS na, count(*) FILTER (grp = 'EUROPE') AS nb,
+            avg(ln(1 + value)) FILTER (grp = 'ASIA') AS la, avg(ln(1 + value)) FILTER (grp = 'EUROPE') AS lb, var_samp(ln(1 + value)) FILTER (grp = 'ASIA') AS va, var_samp(ln(1 + value)) FILTER (grp = 'EUROPE') AS vb
+            FROM v WHERE grp IN ('ASIA', 'EUROPE') GROUP BY element)
+        SELECT element, round(ma, 5) AS mean_a, round(mb, 5) AS mean_b, round(ma / mb, 5) AS fold_change, round((ln(1 + ma) - ln(1 + mb)) / ln(2), 5) AS log2_fold_change,
+            round(greatest((ma + 1e-6) / (mb + 1e-6), (mb + 1e-6) / (ma + 1e-6)), 5) AS fold_change_magnitude, round((la - lb) / sqrt(va / na + vb / nb), 5) AS t,
+            round((la - lb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)), 5) AS t_equal, na + nb - 2 AS df FROM g"""
+
+
 ORACLES = {
     "coverage_runs": f"WITH {_runs()} SELECT target, position, length, CAST(depth AS BIGINT) AS depth FROM runs",
     "coverage_weighted": f"WITH {_runs('CAST(round(l_discount * 100) AS BIGINT)')} SELECT target, position, length, CAST(depth AS BIGINT) AS depth FROM runs",
@@ -66,7 +79,7 @@ ORACLES = {
         SELECT target, CAST(floor(p / 30.0) AS BIGINT) * 30 + 1 AS start, round(count(*) / 30.0, 6) AS average FROM d GROUP BY target, floor(p / 30.0)""",
     "start_counts": f"""SELECT o_orderstatus AS target, {_day('o_orderdate')} + CASE WHEN o_orderkey % 2 = 1 THEN 29 ELSE 0 END AS position, count(*) AS n FROM orders GROUP BY ALL""",
     "merged_intervals": f"""WITH {_READS}, o AS (SELECT *, max(e) OVER (PARTITION BY target ORDER BY s, e, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
-            FROM reads WHERE l_returnflag = 'R'),
+            FROM reads),
         i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY s, e, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS island FROM o)
         SELECT target, min(s) AS start, max(e) AS "end", count(*) AS n FROM i GROUP BY target, island""",
     "overlap_counts": f"""WITH {_READS}, {_REGIONS} SELECT r.target, g AS start, h AS "end", count(x.s) AS n_overlapping FROM regions r
@@ -75,7 +88,7 @@ ORACLES = {
         JOIN reads x ON x.target = r.target AND x.l_returnflag = 'A' AND x.s >= g AND x.e <= h GROUP BY ALL""",
     "region_average_depth": f"""WITH {_READS}, {_REGIONS} SELECT r.target, g AS start, h AS "end", round(coalesce(sum(least(e, h) - greatest(s, g)), 0) / 30.0, 6) AS average_depth
         FROM regions r LEFT JOIN reads x ON x.target = r.target AND x.s < h AND x.e > g GROUP BY ALL""",
-    "anchor_clusters": f"""WITH RECURSIVE {_READS}, p AS (SELECT DISTINCT target, s FROM reads WHERE l_returnflag = 'R'),
+    "anchor_clusters": f"""WITH RECURSIVE {_READS}, p AS (SELECT DISTINCT target, s FROM reads),
         a(target, anchor) AS (SELECT target, min(s) FROM p GROUP BY target UNION ALL
             SELECT a.target, min(p.s) FROM a JOIN p ON p.target = a.target AND p.s > a.anchor + 5 GROUP BY a.target, a.anchor)
         SELECT p.target, p.s AS start, max(a.anchor) AS anchor FROM p JOIN a ON a.target = p.target AND a.anchor <= p.s GROUP BY ALL""",
@@ -118,14 +131,8 @@ ORACLES = {
             CASE WHEN n < 100 THEN 0 ELSE CAST(trunc(n / 1000 + 1) AS INTEGER) END AS linear, CAST(trunc(log10(n + 2)) AS INTEGER) AS log10,
             CAST(trunc(ln(n + 2) / ln(2)) AS INTEGER) AS log2, CASE WHEN n < 100 THEN 0 ELSE CAST(trunc(log10(n) - 1) AS INTEGER) END AS small_log10 FROM o)
         SELECT linear, log10, log2, small_log10, count(*) AS n, CAST(sum(by5) AS BIGINT) AS sum_by5 FROM b GROUP BY ALL""",
-    "group_fold_change": f"""WITH {_MATRIX}, tot AS (SELECT sample, sum(c) AS total FROM matrix GROUP BY sample),
-        v AS (SELECT element, grp, (c + 1.0::DOUBLE) / (total / 1e6) AS value FROM matrix JOIN tot USING (sample)),
-        g AS (SELECT element, avg(value) FILTER (grp = 'ASIA') AS ma, avg(value) FILTER (grp = 'EUROPE') AS mb, count(*) FILTER (grp = 'ASIA') AS na, count(*) FILTER (grp = 'EUROPE') AS nb,
-            avg(ln(1 + value)) FILTER (grp = 'ASIA') AS la, avg(ln(1 + value)) FILTER (grp = 'EUROPE') AS lb, var_samp(ln(1 + value)) FILTER (grp = 'ASIA') AS va, var_samp(ln(1 + value)) FILTER (grp = 'EUROPE') AS vb
-            FROM v WHERE grp IN ('ASIA', 'EUROPE') GROUP BY element)
-        SELECT element, round(ma, 5) AS mean_a, round(mb, 5) AS mean_b, round(ma / mb, 5) AS fold_change, round((ln(1 + ma) - ln(1 + mb)) / ln(2), 5) AS log2_fold_change,
-            round(greatest((ma + 1e-6) / (mb + 1e-6), (mb + 1e-6) / (ma + 1e-6)), 5) AS fold_change_magnitude, round((la - lb) / sqrt(va / na + vb / nb), 5) AS t,
-            round((la - lb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)), 5) AS t_equal, na + nb - 2 AS df FROM g""",
+    "group_fold_change": _fold_change(_MATRIX),
+    "group_fold_change_sparse": _fold_change(_MATRIX.replace("p_brand AS element", "l_partkey AS element")),
     "upper_quartiles": f"""WITH {_MATRIX}, el AS (SELECT DISTINCT element FROM matrix WHERE c > 0), sm AS (SELECT DISTINCT sample FROM matrix),
         f AS (SELECT sample, element, coalesce(c, 0) AS c FROM sm CROSS JOIN el LEFT JOIN matrix USING (sample, element)),
         q AS (SELECT sample, list_sort(list(c))[CAST(floor(count(*) * 0.75) AS INTEGER) + 1] AS q, sum(c) AS t FROM f GROUP BY sample)
@@ -195,7 +202,7 @@ ORACLES = {
         SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 12 HOUR AS window_end, count(*) AS n FROM s GROUP BY user_id, k""",
     "read_set_kept": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "read_set_removed": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
-    "gene_counts": f"""WITH {_READS}, seg AS (SELECT DISTINCT l_orderkey % 10 AS target, l_orderkey AS annotation_id, s, s + 5 AS e FROM reads WHERE l_linenumber <= 3 AND l_orderkey % 50 < 5),
+    "gene_counts": f"""WITH {_READS}, seg AS (SELECT DISTINCT l_orderkey % 10 AS target, l_orderkey AS annotation_id, s, s + 5 AS e FROM reads WHERE l_linenumber <= 3),
         g AS (SELECT target, annotation_id, min(s) AS s, max(e) AS e FROM seg GROUP BY ALL), r AS (SELECT target % 10 AS target, s, s + 2 AS e FROM reads WHERE l_returnflag = 'A'),
         gaps AS (SELECT target, annotation_id, u AS s, s AS e FROM (SELECT *, max(e) OVER (PARTITION BY target, annotation_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM seg) WHERE s > u),
         o AS (SELECT g.target, g.annotation_id, count(r.s) AS n FROM g LEFT JOIN r ON r.target = g.target AND r.s < g.e AND r.e > g.s GROUP BY ALL),
@@ -209,8 +216,9 @@ ORACLES = {
             round(exp(-1.4050204825287::DOUBLE - 3.5820783386146::DOUBLE * ln(g / raw) + ln(raw)), 4) AS formula4 FROM x""",
     "sample_pairs": f"""WITH {_MATRIX}, s AS (SELECT DISTINCT sample, grp FROM matrix)
         SELECT a.sample AS a, b.sample AS b, CASE WHEN a.grp = b.grp THEN 'within' ELSE 'between' END AS kind FROM s a, s b WHERE a.grp = b.grp AND a.sample < b.sample OR a.grp < b.grp""",
-    "wide_counts": f"""WITH {_MATRIX} SELECT element, CAST(sum(CASE WHEN sample = 'NATION_0' THEN c ELSE 0 END) AS BIGINT) AS "NATION_0",
-        CAST(sum(CASE WHEN sample = 'NATION_1' THEN c ELSE 0 END) AS BIGINT) AS "NATION_1", CAST(sum(CASE WHEN sample = 'NATION_2' THEN c ELSE 0 END) AS BIGINT) AS "NATION_2" FROM matrix GROUP BY element""",
+    "wide_counts": f"WITH {_MATRIX} SELECT element, " + ", ".join(
+        f"CAST(sum(CASE WHEN sample = 'NATION_{i}' THEN c ELSE 0 END) AS BIGINT) AS \"NATION_{i}\"" for i in range(25)
+    ) + " FROM matrix GROUP BY element",
     "site_spacing": f"""WITH {_READS}, p AS (SELECT DISTINCT target, s FROM reads), d AS (SELECT s - lag(s) OVER (PARTITION BY target ORDER BY s) AS distance FROM p)
         SELECT distance, count(*) AS n FROM d WHERE distance IS NOT NULL GROUP BY 1""",
     "kmer_successors": f"""WITH {_SEQ}, k AS (SELECT read_index, t[i:i + 5] AS m FROM (SELECT read_index, t, unnest(range(1, length(t) - 4)) AS i FROM seqs WHERE length(t) >= 6))

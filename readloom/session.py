@@ -21,6 +21,8 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Checkpoints that nothing refers to any more are removed.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -28,12 +30,16 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    session without that setting (a test) gets a temporary folder.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; a cluster without that setting is an error, as
+    its machines don't share a temporary folder. Only a local session (a test) gets one. Set
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have folders removed that nothing refers to any more.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="readloom-")
-        )
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="readloom-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -210,6 +210,14 @@ def test_text_sources(spark, tmp_path):
     fq.write_text("# made\n@r1 a\nACGT\n+\n@@II\n@r2\nAC\n+\nI\n")
     got = {r.header: (r.sequence, r.quality_text, r.complete) for r in lines.read_fastq(spark, str(fq)).collect()}
     assert got == {"r1 a": ("ACGT", "@@II", True), "r2": ("AC", "I", False)}
+    tricky = tmp_path / "y.fq"
+    tricky.write_text("\n#c\n;d\n@r1\nACGT\n+\n#III\n@r2\n\n+\n\n\n# between\n@r3\r\nAC\r\n+r3\r\n##\r\n@cut\nA\n")
+    rows = {r.header: (r.read_index, r.sequence, r.quality_text, r.complete) for r in lines.read_fastq(spark, str(tricky)).collect()}
+    assert rows == {"r1": (0, "ACGT", "#III", True), "r2": (1, "", "", True), "r3": (2, "AC", "##", True), "cut": (3, "A", None, False)}
+    wrapped = tmp_path / "z.fq"
+    wrapped.write_text(";c\n@one\nGATACCA\nCATCA\n+again\n@234\n>67890\n+2\n\n#c\n@two\nTAG\n+\n#23\n")
+    rows = [(r.read_index, r.header, r.sequence, r.quality_text, r.complete) for r in lines.read_fastq(spark, str(wrapped), wrapped=True).orderBy("read_index").collect()]
+    assert rows == [(0, "one", "GATACCACATCA", "@234>67890+2", True), (1, "two", "TAG", "#23", True)]
     fa = tmp_path / "x.fa"
     fa.write_text(">c1 first one\nACGT\nAC>GT\n>c2\nTT\n")
     assert {r.header: (r.description, r.sequence) for r in lines.read_fasta(spark, str(fa)).collect()} == {"c1": ("first one", "ACGTAC>GT"), "c2": (None, "TT")}
@@ -221,6 +229,7 @@ def test_text_sources(spark, tmp_path):
     ann = tmp_path / "x.tsv"
     ann.write_text("#h\rchr1\t+\tg\ts1\t5\t9\rbad line\r")
     assert [tuple(r) for r in lines.read_annotations(spark, str(ann), "\r").collect()] == [("chr1", "+", "g", "s1", 5, 9)]
+    assert [tuple(r) for r in lines.read_annotations(spark, str(ann), "\r", failing=True).collect()] == [("bad line", "column_count")]
     lines.write_lines(spark.createDataFrame([(1, None)], "a int, b string").coalesce(1), str(tmp_path / "out"), ["a", "b"], "a\tb")
     assert spark.read.text(str(tmp_path / "out")).count() == 2
 
@@ -233,6 +242,52 @@ def test_sam(spark, tmp_path):
     assert [(v["from"], v["to"], v["position"], v["read_index"]) for v in row.v] == [("T", "C", 1, 6), ("-", "T", 3, 4), ("GG", "--", 5, 2)]
 
 
+def test_reads_in_many_splits(spark, tmp_path):
+    """Splits that end anywhere in a record, with qualities and names that look like comments and records."""
+    draw = random.Random(5)
+    names = {}
+    for f in range(2):
+        text = "# top\n"
+        for i in range(400):
+            n = draw.choice([0, 1, 5, 30])
+            bases, quality = "".join(draw.choice("ACGT") for _ in range(n)), "".join(draw.choice("#;@+I") for _ in range(n))
+            names[f"f{f}r{i}"] = (i, bases, quality)
+            text += f"@f{f}r{i}\n{bases}\n+\n{quality}\n" + draw.choice(["", "", "\n", "# between\n\n"])
+        (tmp_path / f"{f}.fq").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = {r.header: (r.read_index, r.sequence, r.quality_text) for r in lines.read_fastq(spark, str(tmp_path / "*.fq")).where("complete").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == names
+
+
+def test_spliced_and_unknown_sam(spark, tmp_path):
+    path = tmp_path / "x.sam"
+    path.write_text(
+        "@SQ\tSN:c\tLN:900\n"
+        "spliced\t0\tc\t101\t30\t2S4M100N3M1I2M50N2M\t*\t0\t0\tTTACGTCCGATTAC\tIIIIIIIIIIIIII\tMD:Z:2A4T3\n"
+        "nothing\t256\tc\t11\t30\t3M1D2M\t=\t51\t7\t*\t*\tMD:Z:1A1^C2\n"
+        "equal\t16\tc\t11\t30\t3M\t*\t0\t0\t=G=\tIII\tMD:Z:1A1\n"
+        "short\t0\tc\t11\t30\t9M\t*\t0\t0\tAC\tII\tMD:Z:1T7\n"
+    )
+    records = sam.read_sam(spark, str(path))
+    got = {}
+    for r in sam.alignment_entries(records).collect():
+        v = [(x["from"], x["to"], x["position"], x["read_index"]) for x in r.variations]
+        got[r.name, r.fragment_index] = (r.position, r.target_length, r.query_length, r.query_position, r.previous_position, r.next_position, v)
+    assert got["spliced", 0] == (100, 4, 4, 2, None, 204, [("A", "G", 2, 5)])
+    assert got["spliced", 1] == (204, 5, 6, 6, 100, 259, [("-", "A", 3, 10), ("T", "T", 3, 11)][:1])
+    assert got["spliced", 2] == (259, 2, 2, 12, 204, None, [])
+    assert got["nothing", 0] == (10, 6, 5, 0, None, None, [("C", "-", 3, 3)])
+    assert got["equal", 0][-1] == [("A", "G", 1, 2)] and got["short", 0][-1] == [("T", "C", 1, 2)]
+    assert records.where("name = 'nothing'").select("mate_target", "mate_position", "insert_size").first()[:] == ("c", 50, 7)
+    sam.write_sam(records, str(tmp_path / "out"), spark.createDataFrame([("c", 900)], "target string, length int"))
+    again = sam.read_sam(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, again.select(*records.columns).collect()), key=str) == sorted(map(tuple, records.collect()), key=str)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SPANS)
     assert intervals.coverage(empty, "target", "start", "end").count() == 0
