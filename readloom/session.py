@@ -27,14 +27,13 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a cluster without that setting is an error, as
-    its machines don't share a temporary folder. Only a local session (a test) gets one. Set
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have folders removed that nothing refers to any more.
+    A cluster without that setting is an error, as its machines don't share a temporary folder. Only a local session (a test)
+    gets one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -42,4 +41,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             folder = tempfile.mkdtemp(prefix="readloom-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have files removed that nothing refers to any more.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
