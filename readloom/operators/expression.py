@@ -191,16 +191,22 @@ def _bonferroni(df: DataFrame, p: str) -> DataFrame:
     return stats.adjust_bonferroni(df, p, told.isNotNull() & ~F.isnan(told), f"{p}-Bonferroni-adjusted")
 
 
-def adjust(df: DataFrame, columns: Sequence[str], methods: Sequence[str]) -> DataFrame:
-    """``df`` with an adjusted column for each p-value column and method, both by name."""
+def adjust(df: DataFrame, columns: Sequence[str], methods: Sequence[str], key: str = "element") -> DataFrame:
+    """``df`` with an adjusted column for each p-value column and method, both by name; ``key`` is unique.
+
+    Each is computed from the key and its own column of the table as it is, and joined: plans don't grow into each other.
+    """
     from readloom.session import cut_lineage
 
-    if columns and methods:
-        df = cut_lineage(df)
+    if not columns or not methods:
+        return df
+    base = cut_lineage(df)
+    out = base
     for method in methods:
         for p in columns:
-            df = registry.named("adjustment", method)(df, p)
-    return df
+            mine = registry.named("adjustment", method)(base.select(key, F.col(f"`{p}`")), p)
+            out = out.join(mine.drop(p), key, "left")
+    return out
 
 
 def informative(df: DataFrame, keep: Sequence[str] = ("element",)) -> DataFrame:

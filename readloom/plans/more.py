@@ -283,7 +283,7 @@ def sam_round_trip(spark, folder):
     )
     path = records.shared_path(spark, "sam")
     sam.write_sam(rows, path)
-    return sam.alignment_entries(sam.read_sam(spark, path)).select("name", "target", "fragment_index", "position", "target_length", "next_position", "reverse")
+    return sam.alignment_entries(sam.read_sam(spark, path)).select("name", "target", "fragment_index", "position", "target_length", F.coalesce("next_position", F.lit(-1)).alias("next_position"), "reverse")
 
 
 def vcf_round_trip(spark, folder):

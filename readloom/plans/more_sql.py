@@ -136,7 +136,7 @@ ORACLES = {
     "fastq_round_trip": f"""WITH {_CLEAN} SELECT concat_ws(' ', id, sample) AS header, sequence, CASE WHEN sequence = '' THEN 0 ELSE 33 + coalesce(scores[1], 40) END AS first_code FROM clean""",
     "fasta_round_trip": f"WITH {_CLEAN} SELECT replace(concat_ws(' ', id, sample), ' ', '_') AS header, sequence FROM clean WHERE sequence <> ''",
     "sam_round_trip": f"""WITH x AS (SELECT l_orderkey || '.' || l_linenumber AS name, 't' || l_suppkey AS target, {_day('l_shipdate')} AS p, CAST(l_quantity AS INTEGER) AS n, l_linenumber * 10 AS gap, l_linenumber % 2 = 0 AS reverse FROM lineitem WHERE l_quantity >= 3)
-        SELECT name, target, 0 AS fragment_index, p AS position, n - 1 AS target_length, p + n - 1 + gap AS next_position, reverse FROM x UNION ALL SELECT name, target, 1, p + n - 1 + gap, 1, NULL, reverse FROM x""",
+        SELECT name, target, 0 AS fragment_index, p AS position, n - 1 AS target_length, p + n - 1 + gap AS next_position, reverse FROM x UNION ALL SELECT name, target, 1, p + n - 1 + gap, 1, -1, reverse FROM x""",
     "vcf_round_trip": """SELECT chrom, pos, CAST(record_id AS VARCHAR) AS id, record_id AS rid, 'true' AS db, 2 AS n_alt, '0/1:3' AS first_sample FROM vcf_records WHERE pos IS NOT NULL AND chrom IS NOT NULL""",
     "archive_round_trip": f"WITH {_DEPTHS} SELECT target, CAST(sum(d) AS BIGINT) AS bases, count(*) AS sites FROM depth GROUP BY target",
 }
