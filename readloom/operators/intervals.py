@@ -104,10 +104,15 @@ def _bin_width(width: int) -> Column:
     return (F.lit(width) * F.pow(F.lit(4), F.col("__level"))).cast("long")
 
 
-def _levels_of(df: DataFrame, size: Column, width: int) -> list[int]:
-    """The levels that occur, at most 16 of them."""
-    told = df.agg(F.bit_or(F.pow(F.lit(2), _level(size, width)).cast("long"))).first()[0] or 0
-    return [k for k in range(_LEVELS) if told >> k & 1]
+def _levels_of(sides: Sequence[tuple[DataFrame, str, str]], width: int) -> list[list[int]]:
+    """The levels that occur on each side, at most 16 of them, in one job."""
+    sizes = [df.select(F.lit(i).alias("side"), (F.col(e) - F.col(s)).cast("long").alias("size")) for i, (df, s, e) in enumerate(sides)]
+    every = sizes[0]
+    for more in sizes[1:]:
+        every = every.unionByName(more)
+    told = every.groupBy("side").agg(F.bit_or(F.pow(F.lit(2), _level(F.col("size"), width)).cast("long")).alias("levels")).collect()
+    found = {r["side"]: r["levels"] for r in told}
+    return [[k for k in range(_LEVELS) if found.get(i, 0) >> k & 1] for i in range(len(sides))]
 
 
 def range_join(
@@ -123,7 +128,7 @@ def range_join(
     """
     ls, le, rs, re_ = bounds
     a, b = left.where(F.col(ls) < F.col(le)), right.where(F.col(rs) < F.col(re_))
-    left_levels, right_levels = (_levels_of(d, F.col(e) - F.col(s), width) for d, s, e in ((a, ls, le), (b, rs, re_)))
+    left_levels, right_levels = _levels_of([(a, ls, le), (b, rs, re_)], width)
 
     def spread(df: DataFrame, start: str, end: str, visited: list[int], side: str) -> DataFrame:
         home = _level(F.col(end) - F.col(start), width)
