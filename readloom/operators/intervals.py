@@ -129,6 +129,17 @@ def range_join(
     ls, le, rs, re_ = bounds
     a, b = left.where(F.col(ls) < F.col(le)), right.where(F.col(rs) < F.col(re_))
     left_levels, right_levels = _levels_of([(a, ls, le), (b, rs, re_)], width)
+    test = (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le))
+    if how == "contained":
+        test = (F.col(ls) >= F.col(rs)) & (F.col(le) <= F.col(re_))
+        # What is longer than any interval of the other side lies in none.
+        most = max(right_levels, default=0)
+        left_levels, a = [k for k in left_levels if k <= most], a.where(F.col(le) - F.col(ls) <= width * 4**most)
+    if len({*left_levels, *right_levels}) <= 1:
+        size = width * 4 ** max([*left_levels, *right_levels, 0])
+        bins = lambda start, end: F.explode(F.sequence(F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size)))
+        met = a.withColumn("__bin", bins(ls, le)).join(b.withColumn("__bin", bins(rs, re_)), [*keys, "__bin"])
+        return met.where(test & (F.floor(F.greatest(F.col(ls), F.col(rs)) / size) == F.col("__bin"))).drop("__bin")
 
     def spread(df: DataFrame, start: str, end: str, visited: list[int], side: str) -> DataFrame:
         home = _level(F.col(end) - F.col(start), width)
@@ -144,9 +155,6 @@ def range_join(
     met = x.where(at_home_l).join(y, on)
     if any(k > min(left_levels, default=_LEVELS) for k in right_levels):
         met = met.unionByName(x.where(~at_home_l).join(y.where(at_home_r), on))
-    test = (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le))
-    if how == "contained":
-        test = (F.col(ls) >= F.col(rs)) & (F.col(le) <= F.col(re_))
     first = F.floor(F.greatest(F.col(ls), F.col(rs)) / _bin_width(width)) == F.col("__bin")
     return met.where(test & first).drop("__bin", "__level", "__home_l", "__home_r")
 
