@@ -1,6 +1,6 @@
 """SQL that DuckDB runs on the same tables for the queries of ``more``, written from what the operators promise."""
 
-from readloom.plans.reference_sql import _COUNTS, _MATRIX, _METH, _OBS, _PAIRS, _READS, _REGIONS, _STAT3, _day, _runs
+from readloom.plans.reference_sql import _COUNTS, _DIPLOID, _GENO, _MATRIX, _METH, _OBS, _PAIRS, _READS, _REGIONS, _SEQ, _STAT3, _day, _runs
 
 _FILES = """files AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS source FROM lineitem)"""
 _DEPTHS = f"""{_READS}, places AS (SELECT target, unnest(range(s, e)) AS p FROM reads), depth AS (SELECT target, p, count(*) AS d FROM places GROUP BY ALL),
@@ -139,4 +139,22 @@ ORACLES = {
         SELECT name, target, 0 AS fragment_index, p AS position, n - 1 AS target_length, p + n - 1 + gap AS next_position, reverse FROM x UNION ALL SELECT name, target, 1, p + n - 1 + gap, 1, -1, reverse FROM x""",
     "vcf_round_trip": """SELECT chrom, pos, CAST(record_id AS VARCHAR) AS id, record_id AS rid, 'true' AS db, 2 AS n_alt, '0/1:3' AS first_sample FROM vcf_records WHERE pos IS NOT NULL AND chrom IS NOT NULL""",
     "archive_round_trip": f"WITH {_DEPTHS} SELECT target, CAST(sum(d) AS BIGINT) AS bases, count(*) AS sites FROM depth GROUP BY target",
+    "coded_genotypes": """WITH p AS (SELECT ref_allele AS r, alt AS a, string_split_regex(concat_ws('/', ref_allele, alt), '[/|]') AS l FROM vcf_records WHERE ref_allele IS NOT NULL AND alt IS NOT NULL),
+        c AS (SELECT list_transform(l, lambda x: CASE WHEN x = r THEN '0' WHEN x = a THEN '1' ELSE '.' END) AS c FROM p)
+        SELECT CASE WHEN len(c) = 1 THEN c[1] || '/' || c[1] ELSE array_to_string(c, '/') END AS code, count(*) AS n FROM c GROUP BY 1""",
+    "genotype_concordance": f"""WITH {_COUNTS}, {_DIPLOID}, {_GENO}, g AS (SELECT target, position, sample, string_split(replace(genotype, 'view', 'ref'), '/') AS l FROM geno),
+        m AS (SELECT a.l AS x, b.l AS y, least(len(a.l), len(b.l)) AS k FROM g a JOIN g b USING (target, position) WHERE a.sample = 0 AND b.sample = 1),
+        d AS (SELECT x, y, list_filter(range(1, k + 1), lambda i: x[i] <> y[i]) AS o FROM m), n AS (SELECT len(list_filter(o, lambda i: x[i] IN ('0', 'ref') OR y[i] IN ('0', 'ref'))) + abs(len(x) - len(y)) AS missed,
+            len(list_filter(o, lambda i: NOT (x[i] IN ('0', 'ref') OR y[i] IN ('0', 'ref')))) AS other FROM d)
+        SELECT CASE WHEN missed = 0 AND other = 0 THEN 'same' WHEN missed = 1 THEN 'missed_one' WHEN missed = 2 THEN 'missed_two' WHEN missed > 2 THEN 'missed_more' ELSE 'other' END AS kind, count(*) AS n FROM n GROUP BY 1""",
+    "adapter_trim": f"""WITH {_SEQ}, x AS (SELECT t AS s, length(t) AS n, strpos(t, 'AGATCGGAAG') AS p,
+            coalesce(list_max(list_filter([4, 5, 6, 7, 8, 9], lambda k: starts_with(t, right('AGATCGGAAG', k)))), 0) AS l, coalesce(list_max(list_filter([4, 5, 6, 7, 8, 9], lambda k: ends_with(t, left('AGATCGGAAG', k)))), 0) AS r FROM seqs WHERE t IS NOT NULL)
+        SELECT s AS sequence, CASE WHEN p > 0 AND p - 1 >= n - p - 9 THEN substr(s, 1, p - 1) WHEN p > 0 THEN substr(s, p + 10, n - p - 9) ELSE substr(s, l + 1, greatest(n - l - r, 0)) END AS trimmed, count(*) AS n FROM x GROUP BY 1, 2""",
+    "p1_attributes": r"""WITH w AS (SELECT chr(32) || chr(9) || chr(13) || chr(10) AS ws), k AS (SELECT lower(trim(attribute, ws)) AS k, trim(info_value, ws) AS t, info_value AS raw, ws FROM info_rows, w),
+        v AS (SELECT trim(CASE WHEN starts_with(k, 'info/') THEN substr(k, 6) ELSE k END, ws) AS attribute_key, raw, t, coalesce(lower(t) IN ('', '.', '-', '?', 'na', 'n/a', 'null'), true) AS missing,
+            coalesce(lower(t), '') IN ('', '1', 'true', 't', 'yes', 'y', '0', 'false', 'f', 'no', 'n') AS flag, coalesce(regexp_full_match(t, '[+-]?[0-9]+'), false) AS i,
+            coalesce(regexp_full_match(t, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') OR regexp_full_match(lower(t), '[+-]?(nan|inf|infinity)'), false) AS f FROM k),
+        c AS (SELECT attribute_key, count(*) AS n_rows, count(*) FILTER (missing) AS n_missing, count(*) FILTER (i AND NOT missing) AS n_integer, count(*) FILTER (f AND NOT missing) AS n_float,
+            count(*) FILTER (flag) AS n_flag, count(*) FILTER (NOT missing AND contains(raw, ',')) AS n_list FROM v GROUP BY 1)
+        SELECT *, CASE WHEN n_rows = n_missing THEN 'Flag' WHEN n_integer = n_rows - n_missing THEN 'Integer' WHEN n_float = n_rows - n_missing THEN 'Float' WHEN n_flag = n_rows THEN 'Flag' ELSE 'String' END AS inferred_type FROM c""",
 }
