@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.operators.intervals import overlap_counts, range_join
+from readloom.operators.prefix import running
+from readloom.session import cut_lineage
 
 # Intercept, slope of log(raw), slope of the log ratio of weighted to raw, and what is added first.
 FORMULAS = {
@@ -42,13 +44,46 @@ def gene_counts(reads: DataFrame, segments: DataFrame, width: int, block: int =
     return whole.join(inside, ["target", "annotation_id"], "left").select("target", "annotation_id", (F.col("n_overlapping") - F.coalesce("__i", F.lit(0))).alias("n"))
 
 
-def shared_segments(segments: DataFrame, width: int) -> DataFrame:
-    """Segments that overlap no segment of another annotation."""
-    a = segments.withColumn("l_start", F.col("start")).withColumn("l_end", F.col("end"))
-    b = segments.select("target", F.col("annotation_id").alias("__other"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    hit = range_join(a, b, ["target"], width).where(F.col("annotation_id") != F.col("__other"))
+def shared_segments(segments: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Segments (``target, annotation_id, start, end``) that overlap no segment of another annotation.
+
+    No pairs are made. Equal intervals are one row (two annotations at one interval overlap each other), each start knows its furthest
+    end and the furthest of another annotation, and running maxima of both are read off at the ends: a segment overlaps another
+    annotation if that one reaches beyond its start from a start before its end. Segments without a target, annotation or
+    length overlap nothing.
+    """
     keys = ["target", "annotation_id", "start", "end"]
-    return segments.join(hit.select(*keys).distinct(), keys, "left_anti")
+    plain = F.col("target").isNotNull() & F.col("annotation_id").isNotNull() & F.coalesce(F.col("start") < F.col("end"), F.lit(False))
+    # Read for the starts, the ends and the verdict.
+    spans = cut_lineage(
+        segments.where(plain).groupBy("target", "start", "end")
+        .agg(F.min("annotation_id").alias("__low"), F.max("annotation_id").alias("__high"), F.count(F.lit(1)).alias("__n"))
+    )
+    top = F.struct(F.col("end").alias("end"), F.col("__high").alias("annotation"))
+    other = (F.col("__low") != F.col("__top.annotation")) | (F.col("__high") != F.col("__top.annotation"))
+    starts = (
+        spans.withColumn("__top", F.max(top).over(Window.partitionBy("target", "start"))).groupBy("target", "start")
+        .agg(F.first("__top").alias("__top"), F.max(F.when(other, F.col("end"))).alias("__second"))
+    )
+    # Where two annotations meet, the shorter reach is a runner-up; the best runner-up so far is never behind the true one.
+    met = running(starts, ["target"], "start", {"__before": ("max", "__top")}, block, strict=True)
+    lesser = F.when(F.col("__before.annotation") != F.col("__top.annotation"), F.least("__before.end", "__top.end"))
+    events = met.select("target", F.col("start").alias("__at"), "__top", F.greatest("__second", lesser).alias("__second"), F.lit(False).alias("__asked"))
+    asked = spans.select("target", F.col("end").alias("__at")).distinct().withColumn("__asked", F.lit(True))
+    reached = (
+        running(events.unionByName(asked, allowMissingColumns=True), ["target"], "__at", {"__reach": ("max", "__top"), "__next": ("max", "__second")}, block, strict=True)
+        .where("__asked").select("target", F.col("__at").alias("end"), "__reach", "__next")
+    )
+    furthest = F.when(F.col("__reach.annotation") != F.col("__low"), F.col("__reach.end")).otherwise(F.col("__next"))
+    alone = (
+        spans.where("__low = __high").join(reached, ["target", "end"]).where(~F.coalesce(furthest > F.col("start"), F.lit(False)))
+        .select("target", F.col("__low").alias("annotation_id"), "start", "end", "__n")
+    )
+    if set(segments.columns) != set(keys):
+        found = segments.where(plain).join(alone.drop("__n"), keys, "left_semi")
+    else:
+        found = alone.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n")
+    return found.unionByName(segments.where(~plain)).select(*segments.columns)
 
 
 def sample_pairs(samples: DataFrame, most: int = 2000) -> DataFrame:

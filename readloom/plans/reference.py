@@ -454,19 +454,19 @@ def windows_session(spark, folder):
 
 
 def _segments(spark, folder):
-    """Three shipments of an order as segments of a gene on the supplier modulo 10."""
+    """Three shipments of an order as segments of a gene on the supplier modulo 10; two of one day are there twice."""
     return _reads(spark, folder).where("l_linenumber <= 3").select(
         (F.col("l_orderkey") % 10).alias("target"), F.col("l_orderkey").alias("annotation_id"), "start", (F.col("start") + 5).alias("end")
-    ).distinct()
+    )
 
 
 def gene_counts(spark, folder):
     reads = _reads(spark, folder).where("l_returnflag = 'A'").select((F.col("target") % 10).alias("target"), "start", (F.col("start") + 2).alias("end"))
-    return annotation.gene_counts(reads, _segments(spark, folder), 512, 1 << 10)
+    return annotation.gene_counts(reads, _segments(spark, folder).distinct(), 512, 1 << 10)
 
 
 def constitutive_segments(spark, folder):
-    return annotation.shared_segments(_segments(spark, folder), 16)
+    return annotation.shared_segments(_segments(spark, folder), 1 << 10).distinct()
 
 
 def formula_counts(spark, folder):

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +146,32 @@ def test_gene_counts_of_every_annotation_against_brute_force(spark, tmp_path):
         expected[gene] = sum(s < reach[-1] and e > segments[0][0] for s, e in mine) - sum(a <= s and e <= b for s, e in mine for a, b in gaps)
     got = {r.annotation_id: r.n for r in reference.gene_counts(spark, str(tmp_path)).collect()}
     assert got == expected
+
+
+def test_shared_segments_against_brute_force(spark):
+    draw = random.Random(5)
+    rows = []
+    for target, span, genes in (("t", 60, 4), ("u", 3000, 12), ("v", 3000, 2)):
+        for _ in range(90):
+            start = draw.randrange(span)
+            rows.append((target, f"g{draw.randrange(genes)}", start, start + draw.choice([0, 1, 2, 5, 5, 40, 700 if draw.random() < 0.1 else 3])))
+    rows += [(None, "g1", 1, 9), ("t", None, 1, 9), ("t", "g1", None, 9), ("t", "g1", 5, None)] + rows[:7]
+    plain = [r for r in rows if None not in r and r[2] < r[3]]
+    shared = {a for a in plain if any(a[0] == b[0] and a[1] != b[1] and a[2] < b[3] and b[2] < a[3] for b in plain)}
+    expected = [a for a in rows if a not in shared]
+    assert 20 < len(expected) < len(rows)
+    df = spark.createDataFrame(rows, "target string, annotation_id string, start long, end long")
+    for block in (8, 1 << 16):
+        assert Counter(tuple(r) for r in annotation.shared_segments(df, block).collect()) == Counter(expected)
+    named = annotation.shared_segments(df.withColumn("name", F.upper("annotation_id")), 8).collect()
+    assert Counter(tuple(r) for r in named) == Counter((*r, r[1] and r[1].upper()) for r in expected)
+
+
+def test_shared_segments_of_a_crowded_place_make_no_pairs(spark):
+    n = 200_000
+    crowd = spark.range(n).select(F.lit("t").alias("target"), F.col("id").alias("annotation_id"), (F.col("id") % 50).alias("start"), (F.col("id") % 50 + 5).alias("end"))
+    lone = spark.createDataFrame([("t", -1, 53, 60), ("t", -2, 70, 80)], "target string, annotation_id long, start long, end long")
+    began = time.monotonic()
+    assert [r.annotation_id for r in annotation.shared_segments(crowd.union(lone), 16).collect()] == [-2]
+    # Pairs would be about 7 thousand million.
+    assert time.monotonic() - began < 60
