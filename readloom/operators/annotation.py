@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.operators.intervals import overlap_counts, range_join
+from readloom.operators.intervals import range_join
 from readloom.operators.prefix import running
 from readloom.session import cut_lineage
 
@@ -29,19 +29,64 @@ def combine_by_formula(raw: Column, weighted: Column, name: str = "FORMULA2") ->
 
 def introns(segments: DataFrame) -> DataFrame:
     """Gaps between the segments of each annotation: ``target, annotation_id, start, end``."""
-    order = Window.partitionBy("target", "annotation_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("target", "annotation_id").orderBy(F.col("start").asc_nulls_last(), "end").rowsBetween(Window.unboundedPreceding, -1)
     gaps = segments.withColumn("__upto", F.max("end").over(order)).where(F.col("start") > F.col("__upto"))
     return gaps.select("target", "annotation_id", F.col("__upto").alias("start"), F.col("start").alias("end"))
 
 
-def gene_counts(reads: DataFrame, segments: DataFrame, width: int, block: int = 1 << 16) -> DataFrame:
-    """``target, annotation_id, n``: reads that overlap a gene less those that lie within one of its introns."""
-    genes = segments.groupBy("target", "annotation_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    whole = overlap_counts(reads, genes, "target", block)
-    a = reads.select("target", F.col("start").alias("l_start"), F.col("end").alias("l_end"))
-    b = introns(segments).withColumnsRenamed({"start": "r_start", "end": "r_end"})
-    inside = range_join(a, b, ["target"], width, "contained").groupBy("target", "annotation_id").agg(F.count(F.lit(1)).alias("__i"))
-    return whole.join(inside, ["target", "annotation_id"], "left").select("target", "annotation_id", (F.col("n_overlapping") - F.coalesce("__i", F.lit(0))).alias("n"))
+def gene_counts(reads: DataFrame, segments: DataFrame, width: int, block: int = 1 << 16, most_broadcast: int = 1 << 17) -> DataFrame:
+    """``target, annotation_id, n``: reads that overlap a gene less those that lie within one of its introns.
+
+    With S(x) reads that start before x and E(x) that end up to x, S(end) - E(start) reads overlap a gene and
+    E(b) - S(a) + (reads across both a and b) lie in its intron from a to b. S and E are running counts, read off at the bounds of
+    segments; pairs are made only of reads that reach across a whole intron, of equal ones once. A gene without
+    any start or end has none. The table of S and E is broadcast up to ``most_broadcast`` places, shuffled beyond.
+    """
+    keys = ["target", "annotation_id"]
+    rows = segments.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    spans = cut_lineage(
+        reads.select("target", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+        .where("target is not null and start < end").groupBy("target", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+    )
+    zero = F.lit(0).cast("long")
+    events = spans.select("target", F.lit(False).alias("asked"), F.inline(F.array(
+        F.struct(F.col("start").alias("at"), F.col("n").alias("s"), zero.alias("e")), F.struct(F.col("end").alias("at"), zero.alias("s"), F.col("n").alias("e")),
+    )))
+    asked = rows.where("target is not null").select("target", F.explode(F.array("start", "end")).alias("at")).where("at is not null").distinct()
+    # Read twice, for the blocks and for their rows.
+    places = cut_lineage(
+        events.unionByName(asked.select("target", F.lit(True).alias("asked"), "at", zero.alias("s"), zero.alias("e")))
+        .groupBy("target", "at").agg(F.max("asked").alias("asked"), F.sum("s").alias("s"), F.sum("e").alias("e"))
+    )
+    read = running(places, ["target"], "at", {"starts": ("sum", "s"), "ends": ("sum", "e")}, block)
+    table = cut_lineage(read.where("asked").select("target", "at", (F.col("starts") - F.col("s")).alias("started"), "ends"))
+
+    order = Window.partitionBy(*keys).orderBy(F.col("start").asc_nulls_last(), "end")
+    cut = rows.select(
+        "*", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("upto"),
+        F.lag(F.lit(1)).over(order).isNull().alias("first"), F.lead(F.lit(1)).over(order).isNull().alias("last"),
+    )
+    intron = F.coalesce(F.col("annotation_id").isNotNull() & (F.col("start") > F.col("upto")), F.lit(False))
+    bounds = cut.select(*keys, F.inline(F.array(
+        F.struct(F.when(F.col("first") | intron, F.col("start")).alias("at"), (-F.col("first").cast("int") - intron.cast("int")).alias("side")),
+        F.struct(F.when(intron, F.col("upto")).alias("at"), F.lit(1).alias("side")),
+        F.struct(F.when(F.col("last"), F.greatest("upto", "end")).alias("at"), F.when(F.col("last"), 2).alias("side")),
+    ))).where("at is not null or side = 2")
+    found = bounds.join(F.broadcast(table) if table.count() <= most_broadcast else table, ["target", "at"], "left")
+    n = F.sum(F.coalesce(F.when(F.col("side") < 0, F.col("side") * F.col("ends")).otherwise(F.col("started")), F.lit(0)))
+    whole = F.bool_or(F.col("side") < 0) & F.bool_or((F.col("side") == 2) & F.col("at").isNotNull())
+    counts = found.groupBy(*keys).agg(F.when(whole, n).otherwise(0).alias("n"))
+
+    # A read across an intron takes in a base on either side.
+    longest = spans.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
+    if longest < 3:
+        return counts
+    short = introns(rows).where(F.col("annotation_id").isNotNull() & (F.col("end") - F.col("start") + 2 <= longest))
+    gaps = cut_lineage(short.select(*keys, F.col("start").alias("a"), F.col("end").alias("b")))
+    across = gaps.select("target", "a", "b", (F.col("a") - 1).alias("l_start"), (F.col("b") + 1).alias("l_end")).distinct()
+    pairs = range_join(across, spans.withColumnsRenamed({"start": "r_start", "end": "r_end"}), ["target"], width, "contained")
+    more = gaps.join(pairs.groupBy("target", "a", "b").agg(F.sum("n").alias("m")), ["target", "a", "b"]).groupBy(*keys).agg(F.sum("m").alias("m"))
+    return counts.join(more, keys, "left").select(*keys, (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"))
 
 
 def shared_segments(segments: DataFrame, block: int = 1 << 16) -> DataFrame:

@@ -175,3 +175,33 @@ def test_shared_segments_of_a_crowded_place_make_no_pairs(spark):
     assert [r.annotation_id for r in annotation.shared_segments(crowd.union(lone), 16).collect()] == [-2]
     # Pairs would be about 7 thousand million.
     assert time.monotonic() - began < 60
+
+
+def test_gene_counts_of_reads_across_introns_against_brute_force(spark):
+    draw = random.Random(3)
+    segments = [("t" if g % 3 else "u", f"g{g}", a, a + draw.choice([1, 3, 10])) for g in range(40) for a in [draw.randrange(300) for _ in range(draw.randint(1, 5))]]
+    segments += segments[:9] + [("t", "none", None, None), ("t", "start", 5, None), ("t", "end", None, 50), ("t", "two", None, 5), ("t", "two", None, 8), ("t", "two", 90, 95), ("t", "half", 5, None), ("t", "half", 90, 95), (None, "g1", 1, 9), ("w", "g1", 1, 9), ("t", None, 10, 20), ("t", None, 60, 70)]
+    spans = [(draw.choice("tu"), a, a + draw.choice([0, 1, 2, 3, 4, 8, 30, 120])) for a in [draw.randrange(-20, 320) for _ in range(400)]]
+    spans += spans[:50] + [(None, 1, 9), ("t", None, 9), ("t", 4, None), ("t", 30, 20)]
+    expected = {}
+    for key in {s[:2] for s in segments}:
+        mine = sorted({s[2:] for s in segments if s[:2] == key and s[2] is not None}, key=lambda s: (s[0], s[1] or 0))
+        near = [(a, b) for t, a, b in spans if t == key[0] is not None and None not in (a, b) and a < b]
+        reach = [max((e for _, e in mine[: i + 1] if e is not None), default=None) for i in range(len(mine))]
+        gaps = [(r, s) for r, (s, _) in zip(reach, mine[1:]) if r is not None and s > r and key[1] is not None]
+        expected[key] = sum(a < reach[-1] and b > mine[0][0] for a, b in near) - sum(r <= a and b <= s for a, b in near for r, s in gaps) if mine and reach[-1] is not None else 0
+    reads_ = spark.createDataFrame(spans, "target string, start long, end long")
+    df = spark.createDataFrame(segments, "target string, annotation_id string, start long, end long")
+    for block, most in ((8, 1 << 17), (1 << 16, 0)):
+        assert {(r.target, r.annotation_id): r.n for r in annotation.gene_counts(reads_, df, 16, block, most).collect()} == expected
+
+
+def test_gene_counts_of_a_crowded_target_make_no_pairs(spark):
+    n = 200_000
+    reads_ = spark.range(n).select(F.lit("t").alias("target"), (F.col("id") % 1000).alias("start"), (F.col("id") % 1000 + 2).alias("end"))
+    genes = spark.range(n).select(F.lit("t").alias("target"), F.col("id").alias("annotation_id"), F.explode(F.array(F.lit(100).cast("long"), F.lit(900).cast("long"))).alias("start"))
+    began = time.monotonic()
+    got = annotation.gene_counts(reads_, genes.withColumn("end", F.col("start") + 5), 512, 1 << 10).agg(F.count("n").alias("genes"), F.min("n").alias("low"), F.max("n").alias("high")).first()
+    # Six starts touch either segment, each 200 times. Pairs of reads and introns would be 32 thousand million.
+    assert (got.genes, got.low, got.high) == (n, 2400, 2400)
+    assert time.monotonic() - began < 60
